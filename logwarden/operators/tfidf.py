@@ -112,6 +112,12 @@ def _csr(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
 
 
+def _rows_as_lists(dense: np.ndarray) -> pa.Array:
+    n, width = dense.shape
+    offsets = pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(dense).ravel()))
+
+
 def _row_products(starts, cols, vals, basis) -> np.ndarray:
     """Sparse rows times a dense matrix; empty rows give zeros."""
     out = np.zeros((len(starts) - 1, basis.shape[1]))
@@ -141,21 +147,19 @@ def _gram_times(rows: DataFrame, basis: np.ndarray, chunk: int = 256) -> np.ndar
             for lo in range(0, len(starts) - 1, chunk):
                 s = starts[lo : lo + chunk + 1]
                 c, v = cols[s[0] : s[-1]], vals[s[0] : s[-1]]
-                if not len(c):
-                    continue
-                y = _row_products(s - s[0], c, v, basis)
-                spread = v[:, None] * np.repeat(y, np.diff(s), axis=0)
-                order = np.argsort(c, kind="stable")
-                ids, first = np.unique(c[order], return_index=True)
-                acc[ids] += np.add.reduceat(spread[order], first, axis=0)
-                hit[ids] = True
+                # a dense block of the columns these few rows use
+                used, at = np.unique(c, return_inverse=True)
+                block = np.zeros((len(s) - 1, len(used)))
+                block[np.repeat(np.arange(len(s) - 1), np.diff(s)), at] = v
+                acc[used] += block.T @ (block @ basis[used])
+                hit[used] = True
         ids = np.flatnonzero(hit)
         for lo in range(0, len(ids), 1000):
             part = ids[lo : lo + 1000]
             yield pa.record_batch(
                 [
                     pa.array(part.astype(np.int32)),
-                    pa.array(list(acc[part]), pa.list_(pa.float64())),
+                    _rows_as_lists(acc[part]),
                 ],
                 ["feature", "part"],
             )
@@ -165,8 +169,11 @@ def _gram_times(rows: DataFrame, basis: np.ndarray, chunk: int = 256) -> np.ndar
         Summarizer.sum(array_to_vector("part")).alias("v")
     )
     out = np.zeros((basis.shape[0], width))
-    for row in sums.select("feature", vector_to_array("v").alias("v")).toLocalIterator():
-        out[row["feature"]] = row["v"]
+    table = sums.select("feature", vector_to_array("v").alias("v")).toArrow()
+    if len(table):
+        out[table.column("feature").to_numpy()] = (
+            table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, width)
+        )
     shared.unpersist()
     return out
 
@@ -205,7 +212,7 @@ class SvdModel:
             v = shared.value
             for batch in batches:
                 dense = _row_products(*_csr(batch), v)
-                yield batch.append_column(out, pa.array(list(dense), pa.list_(pa.float64())))
+                yield batch.append_column(out, _rows_as_lists(dense))
 
         return rows.mapInArrow(project, f"{fields}, `{out}` array<double>")
 
@@ -218,7 +225,7 @@ class SvdModel:
             F.sum("x.values").alias("s"), F.sum(F.col("x.values") * F.col("x.values")).alias("q")
         )
         mean, square = np.zeros(n_features), np.zeros(n_features)
-        for row in sums.toLocalIterator():
+        for row in sums.collect():  # one row per feature
             mean[row[0]], square[row[0]] = row["s"] / n, row["q"] / n
         total = float((square - mean**2).sum())
         projected = self.singular_values**2 / n - (mean @ self.components) ** 2

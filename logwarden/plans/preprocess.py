@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logwarden.session import stored
 from logwarden.sources.logs import (
     join_labels,
     label_lines,
     list_files,
     log_lines,
     match_label_files,
-    path_parts,
     text_files,
 )
 from logwarden.sources.records import write_records
@@ -20,18 +20,17 @@ from logwarden.sources.records import write_records
 def labelled_records(spark: SparkSession, logs_dir: str, labels_dir: str, numbering: str = "raw") -> DataFrame:
     """``(path, line_no, log, y, dataset, category)`` of all text files.
 
-    One lazy frame for all files: file lists are matched first, then lines are
-    joined with label rows on (label file, line), which no large file can skew.
+    File lists are matched first and reach the lines together with the split
+    offsets; lines then meet label rows on (label file, line), a key that spreads
+    even one huge file.
     """
     logs = text_files(list_files(spark, logs_dir))
-    labels = text_files(list_files(spark, labels_dir))
+    labels = stored(text_files(list_files(spark, labels_dir)), "labelfiles")
     matched = match_label_files(logs, labels)
     files = logs.join(matched, logs["rel"] == matched["log_rel"]).select("path", "rel", "label_rel")
-    lines = _by_name(log_lines(spark, logs_dir, numbering)).join(
-        _by_name(files), "path"
-    )
-    label_files = _by_name(labels).select("path", F.col("rel").alias("label_rel"))
-    rows = _by_name(label_lines(spark, labels_dir)).join(label_files, "path").drop("path")
+    lines = log_lines(spark, logs_dir, numbering, files)
+    label_files = labels.select("path", F.col("rel").alias("label_rel"))
+    rows = label_lines(spark, labels_dir).join(label_files, "path").drop("path")
     parts = F.split("rel", "/")
     depth = F.size(parts)
     return join_labels(lines, rows, ["label_rel", "line_no"]).select(
@@ -46,10 +45,5 @@ def labelled_records(spark: SparkSession, logs_dir: str, labels_dir: str, number
     )
 
 
-def _by_name(df: DataFrame) -> DataFrame:
-    """The two readers spell the scheme of a local path differently."""
-    return df.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
-
-
 def preprocess(spark: SparkSession, logs_dir: str, labels_dir: str, out: str, numbering: str = "raw") -> None:
     write_records(labelled_records(spark, logs_dir, labels_dir, numbering), out)

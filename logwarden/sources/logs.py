@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logwarden.functions.text import not_blank
+from logwarden.session import stored
 
 # Name endings that stand for a text/* media type.
 TEXT_ENDINGS = (
@@ -40,15 +41,16 @@ def record_key(rel: Column | str) -> Column:
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, rel, length)`` of all files below ``root``; dot files are left out.
+    """``(uri, path, rel, length)`` of all files below ``root``; dot files are left out.
 
-    The binary source is asked for no content column, so nothing is read.
+    The binary source is asked for no content column, so nothing is read. Spark
+    leaves out files of length zero, which hold no lines.
     """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(root)
-        .select("path", "length")
+        .select(F.col("path").alias("uri"), plain_path(F.col("path")).alias("path"), "length")
     )
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     rel = F.substring_index(F.col("path"), base + "/", -1)
@@ -68,7 +70,7 @@ def has_text_ending(rel: Column | str) -> Column:
 def _read_heads(batches):
     for batch in batches:
         heads = []
-        for path in batch.column("path").to_pylist():
+        for path in batch.column("uri").to_pylist():
             store, inner = pafs.FileSystem.from_uri(path)
             with store.open_input_stream(inner) as stream:
                 heads.append(stream.read(HEAD_BYTES))
@@ -80,66 +82,78 @@ def text_files(files: DataFrame) -> DataFrame:
 
     Only the kilobyte is fetched, by the tasks, each for its share of the list.
     """
-    listed = files.select("path", "rel", "length")
-    heads = listed.repartition(F.col("path")).mapInArrow(
-        _read_heads, "path string, rel string, length bigint, head binary"
+    heads = files.select("uri", "path", "rel").repartition("path").mapInArrow(
+        _read_heads, "uri string, path string, rel string, head binary"
     )
-    return heads.where(has_text_ending("rel") | head_is_text(F.col("head"))).drop("head")
+    return heads.where(has_text_ending("rel") | head_is_text(F.col("head"))).select("path", "rel")
 
 
 # -------------------------------------------------------------- line scanning
-def log_lines(spark: SparkSession, root: str, numbering: str = "raw") -> DataFrame:
+BROADCAST_SPLITS = 1_000_000  # rows of a few hundred bytes
+
+
+def log_lines(spark: SparkSession, root: str, numbering: str = "raw", files: DataFrame | None = None) -> DataFrame:
     """``(path, line_no, log)`` for every non-blank line below ``root``.
 
     Large files are read in splits by many tasks. Row ids grow by one inside a
     split, so a line's place in its split is a subtraction; one small aggregate
     per (file, split) and a running sum over the splits of a file give the
-    offset of each split. No line is sorted or shuffled for its number.
+    offset of each split. No line is sorted or shuffled for its number: the
+    table of splits is broadcast when it has been counted as small enough.
 
     ``numbering="raw"`` counts all lines as label files do, ``"compact"`` counts
-    the non-blank ones only.
+    the non-blank ones only. With ``files``, only lines of its paths are kept and
+    its other columns come along, by way of the splits.
     """
+    pin_scan_layout(spark)
     scanned = (
         spark.read.option("recursiveFileLookup", "true")
         .text(root)
         .select(
-            F.col("_metadata.file_path").alias("path"),
+            plain_path(F.col("_metadata.file_path")).alias("path"),
             F.col("_metadata.file_block_start").alias("start"),
             F.make_valid_utf8("value").alias("log"),
             F.monotonically_increasing_id().alias("rid"),
         )
-        .where(~F.startswith(path_parts("path")["name"], F.lit(".")))
     )
+    kept = scanned.where(not_blank(F.col("log")))
+    counted = kept if numbering == "compact" else scanned
+    splits = split_offsets(
+        counted.groupBy("path", "start").agg(F.min("rid").alias("first"), F.count("*").alias("n"))
+    )
+    if files is not None:
+        splits = splits.join(files, "path")
+    splits = stored(splits.drop("n"), "splits")
+    if splits.count() <= BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
     if numbering == "compact":
-        return _compact(scanned)
-    splits = scanned.groupBy("path", "start").agg(
-        F.min("rid").alias("first"), F.count("*").alias("n")
+        # blank lines leave gaps in the row ids, so the place in the split is a
+        # rank; its window is one split, at most one read partition
+        place = F.row_number().over(Window.partitionBy("path", "start").orderBy("rid"))
+    else:
+        place = F.col("rid") - F.col("first") + 1
+    numbered = kept.join(splits, ["path", "start"]).withColumn(
+        "line_no", (F.col("before") + place).cast("bigint")
     )
-    placed = scanned.join(split_offsets(splits).select("path", "start", "first", "before"), ["path", "start"])
-    return placed.select(
-        "path", (F.col("before") + F.col("rid") - F.col("first") + 1).alias("line_no"), "log"
-    ).where(not_blank(F.col("log")))
+    extra = [c for c in files.columns if c != "path"] if files is not None else []
+    return numbered.select("path", "line_no", "log", *extra)
 
 
-def _compact(scanned: DataFrame) -> DataFrame:
-    """Numbers kept lines only. Blank lines leave gaps in the row ids, so the
-    place in the split is a rank; a split is at most one read partition."""
-    from pyspark.sql import Window
+def pin_scan_layout(spark: SparkSession) -> None:
+    """Keeps the cutting of files into splits the same for every scan of the
+    session, also when executors come and go between two scans."""
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
 
-    kept = scanned.where(not_blank(F.col("log")))
-    ranked = kept.withColumn(
-        "place", F.row_number().over(Window.partitionBy("path", "start").orderBy("rid"))
-    )
-    splits = kept.groupBy("path", "start").agg(F.count("*").alias("n"))
-    return ranked.join(split_offsets(splits).select("path", "start", "before"), ["path", "start"]).select(
-        "path", (F.col("before") + F.col("place")).cast("bigint").alias("line_no"), "log"
-    )
+
+def plain_path(path: Column) -> Column:
+    """One spelling of local paths, whose scheme readers write differently."""
+    return F.regexp_replace(path, "^file:/+", "/")
 
 
 def split_offsets(splits: DataFrame) -> DataFrame:
     """Adds ``before``: lines of the same file in earlier splits (one row per split)."""
-    from pyspark.sql import Window
-
     earlier = (
         Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -173,7 +187,7 @@ def label_lines(spark: SparkSession, root: str) -> DataFrame:
         spark.read.option("recursiveFileLookup", "true")
         .text(root)
         .select(
-            F.col("_metadata.file_path").alias("path"),
+            plain_path(F.col("_metadata.file_path")).alias("path"),
             F.struct(
                 F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
             ).alias("pos"),

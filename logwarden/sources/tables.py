@@ -89,7 +89,7 @@ def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, features, label)`` of the embeddings table, label as class name."""
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings"), "vec_id").select(
         F.col("vec_id").alias("id"),
         F.col("embedding").cast("array<double>").alias("features"),
         F.concat(F.lit("class_"), F.col("label")).alias("label"),

@@ -74,7 +74,9 @@ def test_text_files_by_ending_and_head(spark, tmp_path):
         },
     )
     got = {r["rel"] for r in L.text_files(L.list_files(spark, root)).collect()}
-    assert got == {"late.dat", "named.txt", "plain.log", "empty.log"}
+    assert got == {"late.dat", "named.txt", "plain.log"}  # empty files hold no lines
+    heads = spark.createDataFrame([(b"",), (b"a\x00",), (b"a" * 1024 + b"\x00",)], "h binary")
+    assert [r[0] for r in heads.select(L.head_is_text(F.col("h"))).collect()] == [True, False, True]
 
 
 def test_label_rows_are_skipped_one_by_one(spark, tmp_path):
