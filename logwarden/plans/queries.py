@@ -602,7 +602,7 @@ def rf_predictions(spark, sf):
 
 @query
 def gbt_predictions(spark, sf):
-    return model_predictions("gbt", *_sides(spark, sf), rounds=3, depth=4)
+    return model_predictions("gbt", *_sides(spark, sf), rounds=15)
 
 
 @query
