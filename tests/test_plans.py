@@ -34,8 +34,9 @@ def test_train_and_evaluate(spark, records, tmp_path):
     vectors = EV.labelled_vectors(E.embed(records, "tfidf", size=4))
     ids = vectors.withColumn("id", F.xxhash64("id"))
     board = EV.train_and_evaluate(
-        ids, "tfidf", {"lr": {}, "knn": {}, "rf": {"trees": 5, "depth": 3}}, str(tmp_path / "r")
+        ids, "tfidf", {"lr": {}, "knn": {}, "rf": {"trees": 5, "depth": 3}}, str(tmp_path / "r"), str(tmp_path / "m")
     ).collect()
+    assert (tmp_path / "m/tfidf/lr").is_dir()
     assert {r["model"] for r in board} == {"lr", "knn", "rf"} and board[0]["accuracy"] > 0.95
     assert spark.read.option("header", "true").csv(str(tmp_path / "r/tfidf/lr/class_metrics")).count() == 2
 
