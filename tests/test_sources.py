@@ -129,19 +129,19 @@ def test_records_end_to_end(spark, tmp_path):
     logs = tree(
         tmp_path / "logs",
         {
-            "fox/web/err.log.1": "l1\n\nl3\nl4\n",
-            "fox/web/err.log.2": "m1\n",
-            "santos/web/err.log.1": "s1\ns2\n",
+            "alpha/web/err.log.1": "l1\n\nl3\nl4\n",
+            "alpha/web/err.log.2": "m1\n",
+            "beta/web/err.log.1": "s1\ns2\n",
             "top.log": "t1\n",
-            "fox/web/raw.dat": b"\x00\x01",
+            "alpha/web/raw.dat": b"\x00\x01",
         },
     )
     labels = tree(
         tmp_path / "labels",
         {
-            "fox/web/err.log.1": label(3, "attack", "x") + "\n" + label(99, "beyond"),
-            "santos/web/err.log.1": label(2, "other"),
-            "fox/web/README.md": "not labels",
+            "alpha/web/err.log.1": label(3, "attack", "x") + "\n" + label(99, "beyond"),
+            "beta/web/err.log.1": label(2, "other"),
+            "alpha/web/README.md": "not labels",
         },
     )
     got = {
@@ -149,17 +149,17 @@ def test_records_end_to_end(spark, tmp_path):
         for r in labelled_records(spark, logs, labels).collect()
     }
     assert got == {
-        ("fox/web/err.log.1", 1): ("l1", "[]", "fox", "web"),
-        ("fox/web/err.log.1", 3): ("l3", '["attack","x"]', "fox", "web"),
-        ("fox/web/err.log.1", 4): ("l4", "[]", "fox", "web"),
-        ("fox/web/err.log.2", 1): ("m1", "[]", "fox", "web"),
-        ("santos/web/err.log.1", 1): ("s1", "[]", "santos", "web"),
-        ("santos/web/err.log.1", 2): ("s2", '["other"]', "santos", "web"),
+        ("alpha/web/err.log.1", 1): ("l1", "[]", "alpha", "web"),
+        ("alpha/web/err.log.1", 3): ("l3", '["attack","x"]', "alpha", "web"),
+        ("alpha/web/err.log.1", 4): ("l4", "[]", "alpha", "web"),
+        ("alpha/web/err.log.2", 1): ("m1", "[]", "alpha", "web"),
+        ("beta/web/err.log.1", 1): ("s1", "[]", "beta", "web"),
+        ("beta/web/err.log.1", 2): ("s2", '["other"]', "beta", "web"),
         ("top.log", 1): ("t1", "[]", "", ""),
     }
     out = str(tmp_path / "out")
     preprocess(spark, logs, labels, out)
-    assert R.read_records(spark, out).where("dataset = 'fox'").count() == 4
+    assert R.read_records(spark, out).where("dataset = 'alpha'").count() == 4
 
 
 def test_damaged_files_and_missing_folders(spark, tmp_path):
