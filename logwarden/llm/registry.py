@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from logwarden.llm import secret_scan
+from logwarden.llm import mixing, secret_scan
 
 QUERIES = {
     "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op7_mixing": mixing.op7_mixing,
 }
 ORACLES = {
     "op2_secret_scan": secret_scan.ORACLE_SQL,
+    "op7_mixing": mixing.ORACLE_SQL,
 }
