@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from logwarden.llm import mixing, secret_scan
+from logwarden.llm import mixing, pseudonyms, secret_scan
 
 QUERIES = {
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op7_mixing": mixing.op7_mixing,
+    "op10_pseudonyms": pseudonyms.op10_pseudonyms,
 }
 ORACLES = {
     "op2_secret_scan": secret_scan.ORACLE_SQL,
