@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from logwarden.llm import language_id, mixing, packing, pseudonyms, secret_scan
+from logwarden.llm import fingerprints, language_id, mixing, packing, pseudonyms, secret_scan
 
 QUERIES = {
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op6_packing": packing.op6_packing,
     "op7_mixing": mixing.op7_mixing,
     "op8_language_id": language_id.op8_language_id,
+    "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_pseudonyms": pseudonyms.op10_pseudonyms,
 }
 ORACLES = {
