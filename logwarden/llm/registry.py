@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from logwarden.llm import fingerprints, language_id, mixing, packing, pseudonyms, secret_scan
+from logwarden.llm import fingerprints, language_id, line_dedup, mixing, packing, pseudonyms, secret_scan
 
 QUERIES = {
     "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op6_packing": packing.op6_packing,
     "op7_mixing": mixing.op7_mixing,
     "op8_language_id": language_id.op8_language_id,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 ORACLES = {
     "op2_secret_scan": secret_scan.ORACLE_SQL,
+    "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
 }
