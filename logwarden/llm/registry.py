@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from logwarden.llm import fingerprints, language_id, line_dedup, mixing, packing, pseudonyms, secret_scan
+from logwarden.llm import fingerprints, language_id, line_dedup, mixing, nearest, packing, pseudonyms, secret_scan
 
 QUERIES = {
+    "op1_nearest": nearest.op1_nearest,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op6_packing": packing.op6_packing,
