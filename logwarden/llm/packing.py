@@ -25,6 +25,8 @@ the vocabulary allows.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
@@ -39,18 +41,49 @@ from logwarden.session import stored
 
 WINDOW = 2048
 END_ID = 1
-CACHE_WORDS = 200_000
+CACHE_PIECES = 300_000
 GRID = 16
 STEPS = 300
 RANK_BUCKETS = 4096
 
 
 # ------------------------------------------------------------------- token ids
-class WordTokens(dict):
-    """Token ids, as bytes, by stretch of text without blanks; grows as words come up.
+# How the tokenizer file splits lower-case text of ASCII and Latin-1 letters, and the
+# characters it shows for bytes.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+PLAIN = re.compile("[\t\n !-~\u00c0-\u00ff]*")
+SHOWN = {b: b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+SHOWN |= {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in SHOWN)}
 
-    The tokenizer splits at white space and works piece by piece, so the ids of a
-    text are those of its stretches in a row. Plain words go to its model directly.
+
+class Pieces(dict):
+    """Token ids, as bytes, by piece of lower-case text; grows as pieces come up.
+
+    At ``CACHE_PIECES`` it starts anew, and takes over from the last table the pieces
+    that come up again.
+    """
+
+    def __init__(self, model, width: int) -> None:
+        self.model, self.width, self.last = model, width, {}
+
+    def bytes_of(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.last.get(piece)
+        if found is None:
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(SHOWN)
+            found = self.bytes_of([t.id for t in self.model.tokenize(shown)])
+        self[piece] = found
+        return found
+
+
+class Encoder:
+    """Token ids of texts, as bytes.
+
+    The tokenizer lowers the case, splits a text into pieces and works piece by
+    piece. Texts of ASCII and Latin-1 letters are split here, and each piece goes to
+    the tokenizer's model once; all others go to the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,40 +91,33 @@ class WordTokens(dict):
 
         self.full = Tokenizer.from_file(path)
         self.width = 2 if self.full.get_vocab_size() <= 1 << 16 else 4
-
-    def bytes_of(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
-
-    def __missing__(self, stretch: str) -> bytes:
-        if stretch.isascii() and stretch.isalpha():
-            ids = [t.id for t in self.full.model.tokenize(stretch.lower())]
-        else:
-            ids = self.full.encode(stretch, add_special_tokens=False).ids
-        self[stretch] = found = self.bytes_of(ids)
-        return found
+        self.pieces = Pieces(self.full.model, self.width)
 
     def encode(self, text: str) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        return b"".join([self[w] for w in text.replace("\n", " ").replace("\t", " ").split(" ")])
+        if "<|" in text or not PLAIN.fullmatch(text):
+            return self.pieces.bytes_of(self.full.encode(text, add_special_tokens=False).ids)
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.last = dict(self.pieces)
+            self.pieces.clear()
+        return b"".join([self.pieces[p] for p in PIECES.findall(text.lower())])
 
 
-TOKENS: dict[str, WordTokens] = {}
+ENCODERS: dict[str, Encoder] = {}
 
 
-def tokens_of(path: str) -> WordTokens:
-    """One table for each tokenizer file and Python worker."""
-    if path not in TOKENS:
-        TOKENS[path] = WordTokens(path)
-    return TOKENS[path]
+def encoder(path: str) -> Encoder:
+    """One for each tokenizer file and Python worker."""
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
 
 
 def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, id, ids (bytes), width, n: the ids of each text and the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = tokens_of(path)
-        end = table.bytes_of([END_ID])
+        table = encoder(path)
+        end = table.pieces.bytes_of([END_ID])
         for batch in slices(batches, "text"):
             ids = [table.encode(t or "") + end for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
