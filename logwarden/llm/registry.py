@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from logwarden.llm import fingerprints, language_id, line_dedup, mixing, nearest, ngram_join, packing, pseudonyms, secret_scan
+from logwarden.llm import fingerprints, language_id, line_dedup, lm_scores, mixing, nearest, ngram_join, packing, pseudonyms, secret_scan
 
 QUERIES = {
     "op1_nearest": nearest.op1_nearest,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_lm_scores": lm_scores.op4_lm_scores,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_packing": packing.op6_packing,
     "op7_mixing": mixing.op7_mixing,
