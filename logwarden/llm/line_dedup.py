@@ -3,7 +3,9 @@
 For each host, the number of its pages that contain a line is divided by the number
 of its pages; lines above ``max_ratio`` that are on at least ``min_pages`` pages are
 boilerplate and are dropped from all pages of that host. The same line on another
-host is judged there. Blank lines are neither counted nor dropped.
+host is judged there. Blank lines are neither counted nor dropped. With
+``count_copies=False`` equal pages of a host count as one page, so that a text with
+many copies does not become boilerplate as a whole.
 
 Lines are counted by a 64-bit hash, once for each page, and summed on the map side.
 A host has at most (lines of a mean page) / max_ratio boilerplate lines, so its
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from logwarden.session import stored
 
 MAX_RATIO = 0.1
-MIN_PAGES = 3
+MIN_PAGES = 5
 BROADCAST_LINES = 1_000_000
 
 
@@ -32,11 +34,14 @@ def _lines(text: Column) -> Column:
 
 
 def boilerplate(
-    pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
+    pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, count_copies: bool = True
 ) -> DataFrame:
     """_host, _lines: the hashes of each host's boilerplate lines; of columns _host and _text."""
     own = F.array_distinct(F.filter(_lines(F.col("_text")), lambda x: F.trim(x) != ""))
     hashed = F.array_distinct(F.transform(own, lambda x: F.xxhash64(x)))
+    if not count_copies:
+        lines = pages.select("_host", F.md5("_text").alias("_page"), hashed.alias("_own"))
+        pages, hashed = lines.dropDuplicates(["_host", "_page"]), F.col("_own")
     counts = (
         pages.select("_host", F.explode(hashed).alias("line"))
         .groupBy("_host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
@@ -50,12 +55,12 @@ def boilerplate(
 
 def drop_boilerplate(
     pages: DataFrame, host: Column, text_col: str = "text",
-    max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
+    max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, count_copies: bool = True,
 ) -> DataFrame:
     """``pages`` with the kept lines as text, and ``n_lines`` and ``n_dropped`` (blank lines aside)."""
     kept = [c for c in pages.columns if c not in (text_col, "n_lines", "n_dropped")]
     rows = pages.withColumns({"_host": F.coalesce(host, F.lit("")), "_text": F.col(text_col)})
-    lists = stored(boilerplate(rows.select("_host", "_text"), max_ratio, min_pages), "boilerplate")
+    lists = stored(boilerplate(rows.select("_host", "_text"), max_ratio, min_pages, count_copies), "boilerplate")
     size = lists.agg(F.sum(F.size("_lines"))).first()[0] or 0  # one number
     joined = rows.join(F.broadcast(lists) if size <= BROADCAST_LINES else lists, "_host", "left")
     full = lambda a: F.size(F.filter(a, lambda x: F.trim(x) != "")).cast("long")
