@@ -76,5 +76,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes, np.searchsorted(starts, offsets)
 
 
-def binary(arrays: list[np.ndarray]) -> pa.Array:
-    return pa.array([a.tobytes() for a in arrays], pa.binary())
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, with underscores until no column of ``taken`` has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name

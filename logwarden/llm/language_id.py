@@ -18,7 +18,8 @@ prediction; case and everything but letters is dropped first.
 Null texts and texts without a letter get ``und``, score 0, and count as
 ambiguous. Rows with null language are not learned from. Without any labelled row
 everything is ``und``. Repeated rows and ties are decided alike (ties go to the
-first language in code point order). Extra columns are kept.
+first language in code point order). Other columns are kept, but for ones named
+``lang_pred``, ``score`` or ``ambiguous``.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import LOWER, mixed_bits, slices, stream, text_bytes
+from logwarden.llm.common import LOWER, fresh, mixed_bits, slices, stream, text_bytes
 
 BITS = 16
 ORDERS = (2, 3, 4)
@@ -167,18 +168,18 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, sample: int = SAMPLE_
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``ambiguous``."""
-    names = pa.array([*model.langs, UND], pa.string())
+    names, source = pa.array([*model.langs, UND], pa.string()), fresh(docs.columns, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            text = batch.column("_text")
+        for batch in slices(batches, source):
+            text = batch.column(source)
             n, known = batch.num_rows, pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False)
             best, score, vague = np.full(n, len(model.langs)), np.zeros(n), np.ones(n, bool)
             if model.langs:
                 best, score, vague = model.predict(*text_bytes(pc.utf8_lower(pc.fill_null(text, ""))))
             off = ~known.to_numpy(zero_copy_only=False)
             best, score, vague = np.where(off, len(model.langs), best), np.where(off, 0.0, score), vague | off
-            kept = [batch.column(c) for c in batch.schema.names if c != "_text"]
+            kept = [batch.column(c) for c in batch.schema.names if c != source]
             yield pa.RecordBatch.from_arrays(
                 [*kept, names.take(pa.array(best)), pa.array(score), pa.array(vague)], fields
             )
@@ -187,7 +188,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     base = docs.drop(*added)
     fields = [*base.columns, *added]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + [f"{k} {v}" for k, v in added.items()])
-    return base.withColumn("_text", F.col(text_col)).mapInArrow(run, schema)
+    return base.withColumn(source, F.col(text_col)).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id", fold: int = 2, folds: int = 4) -> Column:

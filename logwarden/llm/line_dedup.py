@@ -59,7 +59,9 @@ def drop_boilerplate(
 ) -> DataFrame:
     """``pages`` with the kept lines as text, and ``n_lines`` and ``n_dropped`` (blank lines aside)."""
     kept = [c for c in pages.columns if c not in (text_col, "n_lines", "n_dropped")]
-    rows = pages.withColumns({"_host": F.coalesce(host, F.lit("")), "_text": F.col(text_col)})
+    rows = pages.select(
+        F.struct("*").alias("_doc"), F.coalesce(host, F.lit("")).alias("_host"), F.col(text_col).alias("_text")
+    )
     lists = stored(boilerplate(rows.select("_host", "_text"), max_ratio, min_pages, count_copies), "boilerplate")
     size = lists.agg(F.sum(F.size("_lines"))).first()[0] or 0  # one number
     joined = rows.join(F.broadcast(lists) if size <= BROADCAST_LINES else lists, "_host", "left")
@@ -72,7 +74,7 @@ def drop_boilerplate(
         joined.withColumn("_all", _lines(F.col("_text")))
         .withColumn("_left", left)
         .select(
-            *kept,
+            *(F.col("_doc")[c].alias(c) for c in kept),
             F.array_join("_left", "\n").alias(text_col),
             zero(full("_all")).alias("n_lines"),
             zero(full("_all") - full("_left")).alias("n_dropped"),

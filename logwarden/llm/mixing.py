@@ -17,7 +17,8 @@ permuted blocks, and is shuffled locally by a hash of document and pass.
 Running sums go over buckets of the permutation, so a source that holds most rows
 is still many small groups. Documents without words are never taken. Null texts
 have no words; null sources are one source; repeated rows are documents of their
-own. Reruns give the same rows. Extra columns are kept as they are.
+own. Reruns give the same rows. Other columns are kept, but for ones named ``pass``,
+``shard`` or ``place``. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -39,16 +40,15 @@ SOURCE = ["_src", "_none"]
 def with_sizes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
-    """Adds the number of words, the place in the permutation and the source's key."""
+    """Each row as ``_doc``, its number of words, its place in the permutation and its source's key."""
     text, source = F.coalesce(F.col(text_col), F.lit("")), F.col(source_col)
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    return docs.withColumns(
-        {
-            "_size": F.regexp_count(text, F.lit(WORD)).cast("long"),
-            "_key": F.md5(F.concat_ws("|", F.lit(SEED), ident, F.md5(text))),
-            "_src": F.coalesce(source, F.lit("")),
-            "_none": source.isNull(),
-        }
+    return docs.select(
+        F.struct("*").alias("_doc"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("_size"),
+        F.md5(F.concat_ws("|", F.lit(SEED), ident, F.md5(text))).alias("_key"),
+        F.coalesce(source, F.lit("")).alias("_src"),
+        source.isNull().alias("_none"),
     ).withColumn("_bucket", F.substring("_key", 1, 3))
 
 
@@ -67,9 +67,11 @@ def source_targets(sized: DataFrame) -> DataFrame:
     every = full.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left = F.sum("source_size").over(every) - F.coalesce(F.sum(cap).over(below), F.lit(0))
     rest = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(below), F.lit(0))
-    rates = sizes.withColumn("weight", weight).withColumn("rate", left / rest)
+    rates = sizes.withColumn("weight", weight).withColumns(
+        {"rate": left / rest, "place": F.row_number().over(full)}
+    )
     # the first source that stays below its cap sets the rate of all after it
-    open_rate = F.min(F.when(cap >= F.col("rate") * F.col("weight"), F.struct(cap / F.col("weight"), "rate"))).over(every)
+    open_rate = F.min(F.when(cap >= F.col("rate") * F.col("weight"), F.struct("place", "rate"))).over(every)
     share = F.col("weight") * open_rate["rate"]
     return rates.withColumn("target", F.least(cap.cast("double"), share)).select(
         *SOURCE, "source_size", "target"
@@ -138,17 +140,19 @@ def mix(docs: DataFrame, levels: int = SHARD_LEVELS, **columns: str) -> DataFram
     To write it, sort each shard by ``place``: the local shuffle.
     """
     sized = with_sizes(docs, **columns)
-    return _mix(sized, stored(source_targets(sized), "mix-targets"), docs.columns, levels)
+    mixed = _mix(sized, stored(source_targets(sized), "mix-targets"), "_doc", levels)
+    added = ["pass", "shard", "place"]
+    return mixed.select(*(F.col("_doc")[c].alias(c) for c in docs.columns if c not in added), *added)
 
 
-def _mix(sized: DataFrame, targets: DataFrame, columns: list[str], levels: int) -> DataFrame:
+def _mix(sized: DataFrame, targets: DataFrame, kept: str, levels: int) -> DataFrame:
     blocks = stored(shard_blocks(targets, levels), "mix-blocks")
     width = blocks.select("width").limit(1).collect()  # one number
     rows = taken_passes(sized, targets).select("*", F.explode("_passes").alias("_p"))
     width = width[0][0] if width else 1
     rows = rows.withColumns({"block": F.floor(F.col("_p.at") / width).cast("int"), "pass": F.col("_p.pass")})
     return rows.join(blocks.drop("width"), [*SOURCE, "block"]).select(
-        *columns, "pass", "shard", _permuted(F.lit("place"), "shard", "_key", "pass").alias("place")
+        kept, "pass", "shard", _permuted(F.lit("place"), "shard", "_key", "pass").alias("place")
     )
 
 
@@ -201,10 +205,10 @@ from c left join x on c.doc_id is not distinct from x.doc_id and c.k = x.k and c
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    narrow = with_sizes(docs).withColumn("row", F.monotonically_increasing_id())
-    sized = stored(narrow.drop("text", "lang", "n_chars"), "mix-sizes")
+    rows = with_sizes(docs).withColumns({"doc_id": F.col("_doc.doc_id"), "row": F.monotonically_increasing_id()})
+    sized = stored(rows.drop("_doc"), "mix-sizes")
     targets = stored(source_targets(sized), "mix-targets")
-    mixed = _mix(sized, targets, ["row"], SHARD_LEVELS)
+    mixed = _mix(sized, targets, "row", SHARD_LEVELS)
     shards = mixed.groupBy("row").agg(
         F.count("*").alias("times"), F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("p")
     )

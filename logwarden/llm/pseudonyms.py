@@ -24,6 +24,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logwarden.llm.common import fresh
+
 KEY = "pseudonym-key-1"
 ROUNDS = 8
 KINDS = ("email", "ip", "date", "ssn", "iban", "phone", "intl", "card")
@@ -264,7 +266,7 @@ MAKE = dict(zip(KINDS, (_email, _ip, _date, _ssn, _iban, _phone, _intl, _card),
 
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with the new text, and counts ``n_<kind>`` of the values replaced."""
-    text = F.col(text_col)
+    text, held = F.col(text_col), fresh(docs.columns, "_found")
     hits = F.when(text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
 
     def kind_of(m: Column) -> Column:
@@ -282,18 +284,18 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
 
     found = F.transform(hits, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
     pieces = F.arrays_zip(
-        F.split(text, ANY, -1).alias("gap"), F.transform("_found", made).alias("new")
+        F.split(text, ANY, -1).alias("gap"), F.transform(held, made).alias("new")
     )
     joined = F.array_join(
         F.flatten(F.transform(pieces, lambda p: F.array(p["gap"], F.coalesce(p["new"], F.lit(""))))), ""
     )
     count = lambda k: F.coalesce(
-        F.size(F.filter("_found", lambda h: h["kind"] == k)), F.lit(0)
+        F.size(F.filter(held, lambda h: h["kind"] == k)), F.lit(0)
     ).cast("long")
     return (
-        docs.withColumn("_found", found)
-        .withColumns({text_col: F.when(F.col("_found").isNull(), text).otherwise(joined)} | {f"n_{k}": count(k) for k in KINDS})
-        .drop("_found")
+        docs.withColumn(held, found)
+        .withColumns({text_col: F.when(F.col(held).isNull(), text).otherwise(joined)} | {f"n_{k}": count(k) for k in KINDS})
+        .drop(held)
     )
 
 
