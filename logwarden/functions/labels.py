@@ -7,11 +7,20 @@ from pyspark.sql import functions as F
 
 NORMAL = "normal"
 UNKNOWN = "unknown"
+STRICT = {"allowSingleQuotes": "false"}
+MARK = "end of the value"
 
 
 def class_label(y: Column | str) -> Column:
-    """First element of a JSON array; ``[]`` is normal, anything else unknown."""
-    labels = F.from_json(y, "array<string>")
+    """First element of a JSON array; ``[]`` is normal, anything else unknown.
+
+    The text is parsed as the element before an end mark in an array, so single quotes,
+    text after the value and a second closing bracket make it unknown.
+    """
+    y = F.col(y) if isinstance(y, str) else y
+    parsed = F.from_json(F.concat(F.lit("["), y, F.lit(f',["{MARK}"]]')), "array<array<string>>", STRICT)
+    whole = (F.size(parsed) == 2) & (F.get(F.get(parsed, F.lit(1)), F.lit(0)) == MARK)
+    labels = F.when(whole, F.get(parsed, F.lit(0)))
     return (
         F.when(labels.isNull(), UNKNOWN)
         .when(F.size(labels) == 0, NORMAL)

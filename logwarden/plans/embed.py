@@ -24,9 +24,9 @@ from logwarden.session import stored
 METHODS = ("tfidf", "word2vec", "subword", "graph")
 
 
-def embed(records: DataFrame, method: str, size: int = 100, exact: bool = False, **training) -> DataFrame:
+def embed(records: DataFrame, method: str, size: int = 100, exact: bool = False, sources: int | None = None, **training) -> DataFrame:
     """``(id, split, y, features)`` from ``(id, log, y)``; models see the train
-    split only."""
+    split only. ``sources`` bounds the searches for betweenness (``graph``)."""
     split = exact_split if exact else with_split
     rows = split(records.select("id", "log", "y"), F.col("id"))
     if method == "tfidf":
@@ -46,7 +46,7 @@ def embed(records: DataFrame, method: str, size: int = 100, exact: bool = False,
         nodes = stored(graph_nodes(train), "nodes")
         edges = stored(cooccurrence_edges(train), "edges")
         return graph_vectors(
-            rows, vectors, centralities(nodes, edges), ["id", "split", "y"], size
+            rows, vectors, centralities(nodes, edges, sources), ["id", "split", "y"], size
         )
     raise ValueError(f"unknown method {method!r}; known are {', '.join(METHODS)}")
 

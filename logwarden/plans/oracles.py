@@ -262,7 +262,10 @@ full_grid AS (SELECT g.truth, g.pred, coalesce(c, 0) AS n FROM grid g LEFT JOIN
 SELECT truth, pred, n, {SHARE} AS share FROM full_grid"""
 
 ORACLES["confusion_matrix_full"] = f"""
-WITH {OUTCOMES}, cells AS (SELECT truth, pred, count(*) AS n FROM outcomes GROUP BY ALL)
+WITH {OUTCOMES}, counts AS (SELECT truth, pred, count(*) AS n FROM outcomes GROUP BY ALL),
+names AS (SELECT truth AS label FROM outcomes UNION SELECT pred FROM outcomes),
+cells AS (SELECT a.label AS truth, b.label AS pred, coalesce(n, 0) AS n FROM names a, names b
+  LEFT JOIN counts c ON c.truth = a.label AND c.pred = b.label)
 SELECT truth, pred, n, {SHARE} AS share FROM cells"""
 
 
@@ -485,4 +488,4 @@ WITH {BINARY} SELECT label, n + need AS n, need AS added FROM plan"""
 ORACLES["alerts_per_window"] = """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS label,
        count(*) AS alerts
-FROM events WHERE event_type = 'error' GROUP BY ALL"""
+FROM events GROUP BY ALL"""

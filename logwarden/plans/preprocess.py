@@ -24,8 +24,8 @@ def labelled_records(spark: SparkSession, logs_dir: str, labels_dir: str, number
     offsets; lines then meet label rows on (label file, line), a key that spreads
     even one huge file.
     """
-    logs = text_files(list_files(spark, logs_dir))
-    labels = stored(text_files(list_files(spark, labels_dir)), "labelfiles")
+    logs = text_files(list_files(spark, logs_dir), logs_dir)
+    labels = stored(text_files(list_files(spark, labels_dir), labels_dir), "labelfiles")
     matched = match_label_files(logs, labels)
     files = logs.join(matched, logs["rel"] == matched["log_rel"]).select("path", "rel", "label_rel")
     lines = log_lines(spark, logs_dir, numbering, files)

@@ -505,29 +505,35 @@ def _described(means: DataFrame, *keys: str) -> DataFrame:
 @query
 def word2vec_docs(spark, sf):
     rows = with_split(_token_lines(spark, sf), T.line_id())
-    vectors = stored(W.word_vectors(rows.where("split = 'train'")), "words")
+    vectors = stored(W.word_vectors(rows.where("split = 'train'"), partitions=8), "words")
     return _described(W.mean_vectors(rows, vectors, LINE, 100), *LINE)
 
 
 @query
 def subword_docs(spark, sf):
     rows = with_split(_token_lines(spark, sf), T.line_id())
-    vectors = W.subword_table(rows.where("split = 'train'"), rows)
+    vectors = W.subword_table(rows.where("split = 'train'"), rows, partitions=8)
     return _described(W.mean_vectors(rows, vectors, LINE, 100), *LINE)
 
 
-def _benchmark_lines(spark, sf):
-    items = T.table(spark, sf, "benchmark").select("item_id", "text")
-    return W.with_tokens(T.text_lines(T.spread(items, "item_id"), "item_id", "text"))
+@query
+def indexed_docs(spark, sf):
+    rows = with_split(_token_lines(spark, sf), T.line_id())
+    vectors = stored(W.word_vectors(rows.where("split = 'train'"), trainer="indexed"), "words")
+    return _described(W.mean_vectors(rows, vectors, LINE, 100), *LINE)
+
+
+#: Searches start from so many nodes of the corpus graph, chosen by hash.
+SOURCES = 8
 
 
 @query
 def graph_docs(spark, sf):
-    rows = stored(_benchmark_lines(spark, sf), "lines")
+    rows = stored(_token_lines(spark, sf), "lines")
     nodes, edges = stored(G.graph_nodes(rows), "nodes"), stored(G.cooccurrence_edges(rows), "edges")
-    vectors = W.subword_table(rows, rows)
-    keys = ["item_id", "line_no"]
-    return _described(G.graph_vectors(rows, vectors, G.centralities(nodes, edges), keys, 100), *keys)
+    vectors = W.subword_table(rows, rows, trainer="indexed")
+    central = G.centralities(nodes, edges, SOURCES)
+    return _described(G.graph_vectors(rows, vectors, central, LINE, 100), *LINE)
 
 
 @named("pca_projection")
@@ -563,9 +569,7 @@ def eigenvector_centrality(spark, sf):
 
 @query
 def betweenness_centrality(spark, sf):
-    rows = _benchmark_lines(spark, sf)
-    nodes, edges = stored(G.graph_nodes(rows), "nodes"), stored(G.cooccurrence_edges(rows), "edges")
-    return rounded(G.betweenness_centrality(nodes, edges), "centrality")
+    return rounded(G.betweenness_centrality(*_graph(spark, sf), SOURCES), "centrality")
 
 
 @query
@@ -602,7 +606,7 @@ def rf_predictions(spark, sf):
 
 @query
 def gbt_predictions(spark, sf):
-    return model_predictions("gbt", *_sides(spark, sf), rounds=15)
+    return model_predictions("gbt", *_sides(spark, sf))
 
 
 @query
@@ -687,7 +691,7 @@ def augmentation_effect_rf(spark, sf):
     cells = augmentation_effect(
         v.where("split = 'train'"),
         v.where("split = 'test'"),
-        {"rf": {"trees": 100, "leaf": 1, "balanced": False}},
+        {"rf": {"trees": 100, "leaf": 1, "balanced": False}, "gbt": {}},
         threshold=0.2,
     )
     return M.compare_overall(cells, "arm", "original", "augmented", ["model"])
@@ -697,8 +701,7 @@ def augmentation_effect_rf(spark, sf):
 @named("alerts_per_window")
 def alerts_by_hour(spark, sf):
     """The batch form of the streaming count."""
-    events = T.table(spark, sf, "events").where("event_type = 'error'")
-    counted = alerts_per_window(events, "ts", "event_type")
+    counted = alerts_per_window(T.table(spark, sf, "events"), "ts", "event_type")
     return counted.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "label", "alerts"
     )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, app: str = "logwarden") -> SparkSession:
@@ -16,7 +18,7 @@ def local_session(cpus: int = 8, app: str = "logwarden") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
@@ -46,6 +48,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/logwarden/{name}-{uuid.uuid4().hex}"
 
 
+def small_table(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """``df`` stored once, with a broadcast hint if it has been counted to be small."""
+    kept = stored(df, "small")
+    return F.broadcast(kept) if kept.count() <= most_rows else kept
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the stored copy.
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.fs as pafs
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logwarden.functions.labels import MARK, STRICT
 from logwarden.functions.text import not_blank
 from logwarden.session import stored
 
 # Name endings that stand for a text/* media type.
 TEXT_ENDINGS = (
-    "txt text log css csv htm html md markdown py c h bat ksh pl rtx rtf tsv "
+    "txt text css csv htm html md markdown py c h bat ksh pl rtx rtf tsv "
     "sgm sgml vcf vtt srt etx xml n3 js mjs"
 ).split()
 HEAD_BYTES = 1024
@@ -52,11 +53,19 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         .load(root)
         .select(F.col("path").alias("uri"), plain_path(F.col("path")).alias("path"), "length")
     )
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    rel = F.substring_index(F.col("path"), base + "/", -1)
+    base = qualified(spark, root)
+    below = F.substring(F.col("path"), len(base) + 2, 1 << 30)
+    rel = F.when(F.startswith("path", F.lit(base + "/")), below).otherwise(F.regexp_extract("path", "([^/]*)$", 1))
     return files.withColumn("rel", rel).where(~F.startswith(path_parts("rel")["name"], F.lit(".")))
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """``root`` as an absolute path, spelled like the paths of :func:`plain_path`."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return re.sub("^file:/+", "/", store.makeQualified(path).toString()).rstrip("/")
+
+
 def head_is_text(head: Column) -> Column:
     """No NUL among the first 1,024 bytes; an empty head is text."""
     return F.position(F.lit(b"\x00"), F.substring(head, 1, HEAD_BYTES)) == 0
@@ -64,28 +73,35 @@ def head_is_text(head: Column) -> Column:
 
 def has_text_ending(rel: Column | str) -> Column:
     ending = F.lower(F.ltrim(path_parts(rel)["suffix"], F.lit(".")))
-    return ending.isin([e for e in TEXT_ENDINGS if e != "log"])
+    return ending.isin(*TEXT_ENDINGS)
 
 
-def _read_heads(batches):
-    for batch in batches:
-        heads = []
-        for path in batch.column("uri").to_pylist():
-            store, inner = pafs.FileSystem.from_uri(path)
-            with store.open_input_stream(inner) as stream:
-                heads.append(stream.read(HEAD_BYTES))
-        yield batch.append_column("head", pa.array(heads, pa.binary()))
+def text_files(files: DataFrame, root: str) -> DataFrame:
+    """``(path, rel)`` of the files that hold text, by name ending or first kilobyte.
 
-
-def text_files(files: DataFrame) -> DataFrame:
-    """Files that hold text, judged by name ending or by their first kilobyte.
-
-    Only the kilobyte is fetched, by the tasks, each for its share of the list.
+    The kilobyte is that of Spark's own scan: of a file's first split, the lines
+    that begin in it (1,024 at most) are looked through for a NUL.
     """
-    heads = files.select("uri", "path", "rel").repartition("path").mapInArrow(
-        _read_heads, "uri string, path string, rel string, head binary"
+    unsure = files.where(~has_text_ending("rel")).select("path")
+    lines = (
+        files.sparkSession.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(root)
+        .select(
+            scanned_path().alias("path"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("rid"),
+            F.col("value").cast("binary").alias("value"),
+        )
+        .where("start = 0").join(unsure, "path", "left_semi")
     )
-    return heads.where(has_text_ending("rel") | head_is_text(F.col("head"))).select("path", "rel")
+    order = Window.partitionBy("path").orderBy("rid")
+    first = lines.withColumn("i", F.row_number().over(order)).where(F.col("i") <= HEAD_BYTES)
+    before = F.sum(F.octet_length("value") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    nul = F.position(F.lit(b"\x00"), F.col("value"))
+    binary = (
+        first.withColumn("at", F.coalesce(before, F.lit(0)) + nul)
+        .where((nul > 0) & (F.col("at") <= HEAD_BYTES)).select("path").distinct()
+    )
+    return files.join(binary, "path", "left_anti").select("path", "rel")
 
 
 # -------------------------------------------------------------- line scanning
@@ -110,7 +126,7 @@ def log_lines(spark: SparkSession, root: str, numbering: str = "raw", files: Dat
         spark.read.option("recursiveFileLookup", "true")
         .text(root)
         .select(
-            plain_path(F.col("_metadata.file_path")).alias("path"),
+            scanned_path().alias("path"),
             F.col("_metadata.file_block_start").alias("start"),
             F.make_valid_utf8("value").alias("log"),
             F.monotonically_increasing_id().alias("rid"),
@@ -152,6 +168,12 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def scanned_path() -> Column:
+    """The path of a scanned row's file, without the escapes of a URI."""
+    escaped = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return plain_path(F.url_decode(escaped))
+
+
 def split_offsets(splits: DataFrame) -> DataFrame:
     """Adds ``before``: lines of the same file in earlier splits (one row per split)."""
     earlier = (
@@ -171,7 +193,10 @@ def parse_label_rows(rows: DataFrame) -> DataFrame:
     rows for a line the last one wins. ``y`` is the JSON text of the labels.
     """
     keys = F.json_object_keys("value")
-    item = F.from_json("value", LABEL_ROW)
+    # parsed as the element before an end mark, so that text after the object is refused
+    end = F.lit(f',{{"line":0,"labels":"{MARK}"}}]')
+    whole = F.from_json(F.concat(F.lit("["), F.col("value"), end), f"array<{LABEL_ROW}>", STRICT)
+    item = F.when((F.size(whole) == 2) & (F.get(whole, F.lit(1))["labels"] == MARK), F.get(whole, F.lit(0)))
     return (
         rows.where(F.array_contains(keys, "line") & F.array_contains(keys, "labels"))
         .select("path", "pos", item.alias("item"))
@@ -187,7 +212,7 @@ def label_lines(spark: SparkSession, root: str) -> DataFrame:
         spark.read.option("recursiveFileLookup", "true")
         .text(root)
         .select(
-            plain_path(F.col("_metadata.file_path")).alias("path"),
+            scanned_path().alias("path"),
             F.struct(
                 F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
             ).alias("pos"),

@@ -60,13 +60,16 @@ def parse_token_list(text: Column | str) -> Column:
     return F.coalesce(strict, F.when(is_list, items))
 
 
-def read_token_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header whose ``tokens`` column holds a list as text."""
+def read_token_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """CSV with a header whose ``tokens`` column holds a list as text.
+
+    Cells with line breaks need ``multi_line``, which makes each file one task.
+    """
     table = (
         spark.read.option("header", "true")
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", "true")
+        .option("multiLine", str(multi_line).lower())
         .csv(path)
     )
     if "tokens" not in table.columns:

@@ -98,3 +98,12 @@ def test_exact_split_and_samples(spark):
     for size in (0, 1, 37, 999, 1000, 2000):
         got = H.hash_sample(df, F.col("id"), size).toPandas()["id"]
         assert sorted(got) == sorted(order[:size])
+
+
+def test_class_label_is_strict_json(spark):
+    from logwarden.functions.labels import class_label
+
+    texts = ["['a']", '["a"] junk', '["a"]]', '["a"],["b"]', '["a"]', "[]", ' ["b", "c"] ', "null", None, '["a"],"x":1']
+    rows = spark.createDataFrame([(t,) for t in texts], "y string")
+    got = [r[0] for r in rows.select(class_label("y")).collect()]
+    assert got == ["unknown"] * 4 + ["a", "normal", "b"] + ["unknown"] * 3

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,7 +74,7 @@ def test_text_files_by_ending_and_head(spark, tmp_path):
             ".dot": b"x",
         },
     )
-    got = {r["rel"] for r in L.text_files(L.list_files(spark, root)).collect()}
+    got = {r["rel"] for r in L.text_files(L.list_files(spark, root), root).collect()}
     assert got == {"late.dat", "named.txt", "plain.log"}  # empty files hold no lines
     heads = spark.createDataFrame([(b"",), (b"a\x00",), (b"a" * 1024 + b"\x00",)], "h binary")
     assert [r[0] for r in heads.select(L.head_is_text(F.col("h"))).collect()] == [True, False, True]
@@ -191,3 +192,26 @@ def test_reports(spark, tmp_path):
     R.write_text_report("title", table, str(tmp_path / "txt"))
     lines = [r[0] for r in spark.read.text(str(tmp_path / "txt")).collect()]
     assert lines[0] == "title" and lines[1].split() == ["label", "f1"] and lines[2].split() == ["a", "1.0"]
+
+
+@pytest.mark.parametrize("how", ["absolute", "relative", "dotted"])
+def test_odd_names_and_nested_roots(spark, tmp_path, how):
+    files = {"a/logs/b/e.log": b"one\n", "b/e.log": b"two\n", "x y%20#1+.log": b"three\n", "bin.dat": b"a\x00b\n"}
+    root = tree(tmp_path / "logs", files)
+    if how != "absolute":
+        root = os.path.relpath(root, spark._jvm.System.getProperty("user.dir"))
+        root = root if how == "relative" else f"./{root}"
+    listed = L.list_files(spark, root)
+    assert {r["rel"] for r in listed.collect()} == set(files)
+    text = L.text_files(listed, root)
+    assert {r["rel"] for r in text.collect()} == set(files) - {"bin.dat"}
+    lines = L.log_lines(spark, root, files=text).collect()
+    assert {(r["rel"], r["line_no"], r["log"]) for r in lines} == {
+        ("a/logs/b/e.log", 1, "one"), ("b/e.log", 1, "two"), ("x y%20#1+.log", 1, "three")
+    }
+
+
+def test_label_rows_are_strict_json(spark):
+    values = ['{"line":1,"labels":["a"]}', "{'line':2,'labels':['a']}", '{"line":3,"labels":["a"]} junk', '{"line":4,"labels":["a"]},{"line":5,"labels":[]}', '[{"line":6,"labels":[]}]']
+    rows = spark.createDataFrame([("p", i, v) for i, v in enumerate(values)], "path string, pos long, value string")
+    assert [(r["line_no"], r["y"]) for r in L.parse_label_rows(rows).collect()] == [(1, '["a"]')]
