@@ -41,7 +41,7 @@ from logwarden.session import stored
 
 WINDOW = 2048
 END_ID = 1
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 GRID = 16
 STEPS = 300
 RANK_BUCKETS = 4096
@@ -102,21 +102,11 @@ class Encoder:
         return b"".join([self.pieces[p] for p in PIECES.findall(text.lower())])
 
 
-ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One for each tokenizer file and Python worker."""
-    if path not in ENCODERS:
-        ENCODERS[path] = Encoder(path)
-    return ENCODERS[path]
-
-
 def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, id, ids (bytes), width, n: the ids of each text and the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = encoder(path)
+        table = Encoder(path)
         end = table.pieces.bytes_of([END_ID])
         for batch in slices(batches, "text"):
             ids = [table.encode(t or "") + end for t in batch.column("text").to_pylist()]
