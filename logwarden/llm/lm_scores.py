@@ -40,9 +40,10 @@ HASHES = 4
 BITS_PER_ITEM = 8
 MAX_BITS = 1 << 31
 HEAD = 1 << 19
-PARTITION_BYTES = 32 << 20
-FLUSH_TOKENS = 2_000_000
-LEVELS = 48
+PARTITION_BYTES = 8 << 20
+FLUSH_TOKENS = 1_500_000
+LEVELS = 40
+SIDE = LEVELS + 1
 WEIGHTS = np.array([0.001, 0.05, 0.15, 0.3, 0.5, 0.7, 0.85, 0.95])
 END, PAIR_A, PAIR_B, ONE = stream(40, 4) | np.uint64(1)
 
@@ -81,7 +82,8 @@ def _positions(keys: np.ndarray, level: int | np.ndarray, size: np.ndarray) -> l
     item = mixed_bits(keys + np.asarray(level, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     step = (item >> np.uint64(33)) | np.uint64(1)
     low = item & np.uint64(0xFFFFFFFF)
-    return [(low + np.uint64(i) * step) % size for i in range(HASHES)]
+    # a 32-bit hash, scaled to the size instead of divided by it
+    return [(((low + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32) for i in range(HASHES)]
 
 
 def make_segment(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> np.ndarray:
@@ -127,17 +129,39 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) % np.uint64(segments)).astype(np.int32)
 
 
-def _counted(kind: int, keys: np.ndarray, segments: int) -> list[pa.Array]:
+def _counted(kind: int, keys: np.ndarray, segments: int) -> pa.RecordBatch:
+    """A row for each segment: its keys in order and their counts, as bytes."""
     keys, n = np.unique(keys, return_counts=True)
     of = segment_of(word_keys(keys) if kind == 0 else keys, segments)
-    return [
-        pa.array(of), pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)),
-    ]
+    order = np.argsort(of, kind="stable")
+    keys, n, of = keys[order], n[order].astype(np.uint32), of[order]
+    cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+    spans = list(zip(cuts[:-1], cuts[1:], strict=True)) if len(of) else []
+    return pa.RecordBatch.from_pydict(
+        {
+            "segment": pa.array([int(of[a]) for a, _ in spans], pa.int32()),
+            "kind": pa.array([kind] * len(spans), pa.int32()),
+            "keys": pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()),
+            "counts": pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()),
+        }
+    )
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    k, n = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    order = np.argsort(k, kind="stable")
+    k, n = k[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[first], np.add.reduceat(n, first)
 
 
 def gather(training: DataFrame, segments: int, partitions: int) -> DataFrame:
-    """kind 0: a word's hash and count; kind 1: a segment's number and bits."""
-    names = ["segment", "kind", "h", "n"]
+    """kind 0: a word's hash and count; kind 1: a segment's number and bits.
+
+    Each task sums what it has read before it sends it, packed by segment.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ones, twos, size = [], [], 0
@@ -147,85 +171,102 @@ def gather(training: DataFrame, segments: int, partitions: int) -> DataFrame:
             twos.append(pair_keys(left, right))
             size += len(right)
             if size >= FLUSH_TOKENS:
-                for kind, parts in enumerate((ones, twos)):
-                    yield pa.RecordBatch.from_arrays(_counted(kind, np.concatenate(parts), segments), names)
+                yield _counted(0, np.concatenate(ones), segments)
+                yield _counted(1, np.concatenate(twos), segments)
                 ones, twos, size = [], [], 0
         if size:
-            for kind, parts in enumerate((ones, twos)):
-                yield pa.RecordBatch.from_arrays(_counted(kind, np.concatenate(parts), segments), names)
+            yield _counted(0, np.concatenate(ones), segments)
+            yield _counted(1, np.concatenate(twos), segments)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[], [], [], []]
+        parts: dict[int, tuple[tuple[list, list], tuple[list, list]]] = {}
         for batch in batches:
-            for i, c in enumerate(names):
-                parts[i].append(batch.column(c).to_numpy(zero_copy_only=False))
-        if not parts[0]:
-            return
-        segment, kind, h, n = (np.concatenate(p) for p in parts)
-        parts.clear()
-        order = np.lexsort((h, kind, segment))
-        segment, kind, h, n = segment[order], kind[order], h[order], n[order]
-        first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (kind[1:] != kind[:-1]) | (segment[1:] != segment[:-1])
-        n = np.add.reduceat(n, np.flatnonzero(first))
-        segment, kind, h = segment[first], kind[first], h[first]
-        one = kind == 0
-        empty = pa.nulls(int(one.sum()), pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kind[one].astype(np.int32)), pa.array(h[one]), pa.array(n[one]), empty], ["kind", "h", "n", "bits"]
-        )
-        keys = np.where(one, word_keys(h.view(np.uint64)), h.view(np.uint64))
-        for rows in np.split(np.arange(len(h)), np.flatnonzero(np.diff(segment)) + 1):
-            bits = make_segment(keys[rows], n[rows], MAX_BITS // segments)
+            keys, counts = batch.column("keys"), batch.column("counts")
+            for i, (segment, kind) in enumerate(zip(batch.column("segment").to_pylist(), batch.column("kind").to_pylist(), strict=True)):
+                lists = parts.setdefault(segment, (([], []), ([], [])))[kind]
+                lists[0].append(np.frombuffer(keys[i].as_buffer(), np.uint64))
+                lists[1].append(np.frombuffer(counts[i].as_buffer(), np.uint32))
+        for segment in sorted(parts):
+            (words_k, words_n), (pairs_k, pairs_n) = (_summed(*lists) for lists in parts.pop(segment))
+            bits = make_segment(
+                np.concatenate([word_keys(words_k), pairs_k]), np.concatenate([words_n, pairs_n]), MAX_BITS // segments
+            )
+            none = len(words_k)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([1], pa.int32()), pa.array([int(segment[rows[0]])], pa.int64()), pa.array([None], pa.int64()), pa.array([bits.tobytes()], pa.binary())],
+                [
+                    pa.array(np.append(np.zeros(none, np.int32), 1).astype(np.int32)),
+                    pa.array(np.append(words_k.view(np.int64), segment)),
+                    pa.array(np.append(words_n, len(bits))),
+                    pa.array([None] * none + [bits.tobytes()], pa.binary()),
+                ],
                 ["kind", "h", "n", "bits"],
             )
 
-    counts = training.select("text").mapInArrow(count, "segment int, kind tinyint, h long, n long")
+    counts = training.select("text").mapInArrow(count, "segment int, kind int, keys binary, counts binary")
     return counts.repartition(partitions, "segment").mapInArrow(build, "kind int, h long, n long, bits binary")
 
 
+def read_levels(bloom: Filter, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """One number for the levels of the left word, the pair and the word of each token."""
+    distinct, at = np.unique(np.append(right, END), return_inverse=True)
+    level = bloom.level(word_keys(distinct))
+    of_right, of_end = level[at[:-1]], level[at[-1]]
+    of_left = np.append(of_end, of_right[:-1])
+    of_left[left == END] = of_end
+    pair = bloom.level(pair_keys(left, right))
+    return (of_left * SIDE + pair) * SIDE + of_right
+
+
+def probabilities(codes: np.ndarray, weight: np.ndarray | float, total: int, distinct: int, leave_out: bool) -> np.ndarray:
+    """p(w | v) for codes of levels; ``leave_out`` takes one occurrence of the pair out of all counts."""
+    off = 1.0 if leave_out else 0.0
+    left, pair, word = codes // SIDE**2, codes // SIDE % SIDE, codes % SIDE
+    have, one = np.maximum(MIDDLE[left] - off, 0), np.maximum(MIDDLE[word] - off, 0)
+    both = np.minimum(np.maximum(MIDDLE[pair] - off, 0), have)
+    share = np.divide(both, have, out=np.zeros(len(codes)), where=have > 0)
+    m = weight[left] if isinstance(weight, np.ndarray) else weight
+    return m * share + (1 - m) * (one + 1) / (total + distinct + 1)
+
+
 def weights(training: DataFrame, share, total: int, distinct: int) -> np.ndarray:
-    """The weight of pairs for each level of the left word's count."""
+    """The weight of pairs for each level of the left word's count.
+
+    The likelihood depends on levels alone, so tasks only count them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, sums = Filter(*share.value), np.zeros((LEVELS + 1, len(WEIGHTS)))
+        bloom, sums = Filter(*share.value), np.zeros(SIDE**3, np.int64)
         for batch in slices(batches, "text"):
             right, left, _ = tokens(batch.column("text"))
-            level, pair, one = read_counts(bloom, left, right, True)
-            for i, m in enumerate(WEIGHTS):
-                p = m * pair + (1 - m) * (one + 1) / (total + distinct + 1)
-                sums[:, i] += np.bincount(level, np.log(p), minlength=LEVELS + 1)[: LEVELS + 1]
-        at = np.argwhere(sums)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at[:, 0].astype(np.int32)), pa.array(at[:, 1].astype(np.int32)), pa.array(sums[at[:, 0], at[:, 1]])],
-            ["level", "i", "s"],
-        )
-
-    table = np.full((LEVELS + 1, len(WEIGHTS)), 0.0)
-    rows = training.select("text").mapInArrow(run, "level int, i int, s double").groupBy("level", "i").agg(F.sum("s").alias("s"))
-    for r in rows.collect():  # LEVELS x WEIGHTS rows at most
-        table[r["level"], r["i"]] = r["s"]
+            sums += np.bincount(read_levels(bloom, left, right), minlength=SIDE**3)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["code", "n"])
+
+    rows = training.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    codes, n = rows["code"].to_numpy(np.int64), rows["n"].to_numpy(float)  # SIDE^3 rows at most
+    table = np.stack(
+        [
+            np.bincount(codes // SIDE**2, n * np.log(probabilities(codes, m, total, distinct, True)), minlength=SIDE)
+            for m in WEIGHTS.tolist()
+        ],
+        1,
+    )
     best = WEIGHTS[table.argmax(1)]
     best[0] = 0.0
     return best
 
 
-def read_counts(bloom: Filter, left: np.ndarray, right: np.ndarray, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Level of the left word, share of the pair in the left word's count, and the word's count.
-
-    ``leave_out`` takes one occurrence of the pair out of all counts.
-    """
-    off = 1.0 if leave_out else 0.0
-    distinct, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-    level = bloom.level(word_keys(distinct))
-    of_left, of_right = level[at[: len(left)]], level[at[len(left) :]]
-    pairs, where = np.unique(pair_keys(left, right), return_inverse=True)
-    pair = np.maximum(MIDDLE[bloom.level(pairs)][where] - off, 0)
-    have = np.maximum(MIDDLE[of_left] - off, 0)
-    share = np.divide(np.minimum(pair, have), have, out=np.zeros(len(left)), where=have > 0)
-    return np.minimum(of_left, LEVELS), share, np.maximum(MIDDLE[of_right] - off, 0)
+def _bits(known: DataFrame, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """All segments in one array of bytes, fetched one after the other, and where each begins."""
+    rows = known.where("kind = 1")
+    sizes = np.zeros(segments, np.int64)
+    for r in rows.select("h", "n").collect():  # a row for each segment
+        sizes[r["h"]] = r["n"]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    data = np.zeros(int(starts[-1]), np.uint8)  # MAX_BITS at most
+    for r in rows.select("h", "bits").toLocalIterator():
+        data[starts[r["h"]] : starts[r["h"] + 1]] = np.frombuffer(r["bits"], np.uint8)
+    return data, starts * 8
 
 
 def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,19 +276,14 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     train = rows.where("training")
     size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(1, min(100_000, -(-int(size) // PARTITION_BYTES)))
-    segments = 4 * partitions
+    segments = 2 * partitions
     known = stored(gather(train, segments, partitions), "lm-counts")
     counts = known.where("kind = 0").select("h", "n")
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     total, distinct = int(total or 0), int(distinct)
-    packed = known.where("kind = 1").select("h", "bits").toPandas()  # MAX_BITS at most
-    parts = dict(zip(packed["h"], packed["bits"], strict=True))
-    sizes = np.array([8 * len(parts.get(i, b"")) for i in range(segments)], np.int64)
-    data = np.frombuffer(b"".join(parts.get(i, b"") for i in range(segments)), np.uint8)
-    del packed, parts
-    share = spark.sparkContext.broadcast((data, np.concatenate([[0], np.cumsum(sizes)])))
-    del data
+    share = spark.sparkContext.broadcast(_bits(known, segments))
     mix = weights(train, share, total, distinct)
+    log_p = np.log10(probabilities(np.arange(SIDE**3), mix, total, distinct, False))
     # the least count that HEAD words at most have
     least, n = 1, 0
     for r in counts.groupBy("n").count().orderBy(F.desc("n")).limit(HEAD).toLocalIterator():
@@ -266,9 +302,7 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
         bloom, (common, logs) = Filter(*share.value), head.value
         for batch in slices(batches, "text"):
             right, left, places = tokens(batch.column("text"))
-            level, pair, one = read_counts(bloom, left, right, False)
-            m = mix[level]
-            p = np.log10(m * pair + (1 - m) * (one + 1) / (total + distinct + 1))
+            p = log_p[read_levels(bloom, left, right)]
             distinct_words, at = np.unique(right, return_inverse=True)
             place = np.minimum(np.searchsorted(common, distinct_words), max(0, len(common) - 1))
             hit = common[place] == distinct_words if len(common) else np.zeros(len(distinct_words), bool)
