@@ -5,9 +5,11 @@ logarithmic scale: count c has level 1 + floor(log2 c). For an n-gram of level q
 filter holds the items (n-gram, 1) to (n-gram, q); a count is read back by probing
 (n-gram, 1), (n-gram, 2), ... until one is not there, and stands for the middle of
 its level. The filter is made in segments by hash, each by one task from that
-segment's counts, and is broadcast; it has ``BITS_PER_ITEM`` bits for an item, and
-``MAX_BITS`` in all at most (beyond that, no count is left out, but false positives
-become more frequent).
+segment's counts; it has ``BITS_PER_ITEM`` bits for an item, however many there are.
+It is broadcast in shards, runs of segments of ``MAX_BITS`` at most. With one shard
+texts are read against it directly; with more, each shard's pass over the texts
+returns the levels it holds of each token, and these are summed per text, so that
+levels do not depend on the number of shards. Every shard costs a pass.
 
 p(w | v) = m c(v w) / c(v) + (1 - m) (c(w) + 1) / (N + V + 1), all counts read from
 the filter, N tokens and V distinct tokens of the training texts. The weight m
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +41,8 @@ from logwarden.session import stored
 
 HASHES = 4
 BITS_PER_ITEM = 8
-MAX_BITS = 1 << 31
+MAX_BITS = 1 << 30
+SEGMENT_BITS = 1 << 32
 HEAD = 1 << 19
 PARTITION_BYTES = 8 << 20
 FLUSH_TOKENS = 1_500_000
@@ -87,9 +91,11 @@ def _positions(keys: np.ndarray, level: int | np.ndarray, size: np.ndarray) -> l
 
 
 def make_segment(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> np.ndarray:
-    """The bits, packed, of one segment."""
+    """The bits, packed, of one segment, which may not need more than ``most_bits``."""
     q = levels(counts)
-    bits = int(min(max(64, BITS_PER_ITEM * int(q.sum())), most_bits)) // 8 * 8
+    bits = max(64, BITS_PER_ITEM * int(q.sum())) // 8 * 8
+    if bits > most_bits:
+        raise ValueError(f"a segment needs {bits} bits, more than {most_bits}: take more segments")
     out = np.zeros(bits, bool)
     for level in range(1, int(q.max(initial=0)) + 1):
         for at in _positions(keys[q >= level], level, np.uint64(bits)):
@@ -98,7 +104,7 @@ def make_segment(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> np.nda
 
 
 class Filter:
-    """All segments in one array of bytes, with the bit where each begins."""
+    """Segments in one array of bytes, with the bit where each begins; those of other shards are empty."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray) -> None:
         self.data, self.starts = data, starts
@@ -189,7 +195,7 @@ def gather(training: DataFrame, segments: int, partitions: int) -> DataFrame:
         for segment in sorted(parts):
             (words_k, words_n), (pairs_k, pairs_n) = (_summed(*lists) for lists in parts.pop(segment))
             bits = make_segment(
-                np.concatenate([word_keys(words_k), pairs_k]), np.concatenate([words_n, pairs_n]), MAX_BITS // segments
+                np.concatenate([word_keys(words_k), pairs_k]), np.concatenate([words_n, pairs_n]), SEGMENT_BITS
             )
             none = len(words_k)
             yield pa.RecordBatch.from_arrays(
@@ -228,6 +234,56 @@ def probabilities(codes: np.ndarray, weight: np.ndarray | float, total: int, dis
     return m * share + (1 - m) * (one + 1) / (total + distinct + 1)
 
 
+def summed_levels(places: np.ndarray, held: pa.Array) -> np.ndarray:
+    """What :func:`read_levels` gives for all shards, from each text's list of place * SIDE^3 + number."""
+    of = np.repeat(places[:-1], pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False))
+    values = held.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros(places[-1], np.int64)
+    np.add.at(out, of + values // SIDE**3, values % SIDE**3)
+    return out
+
+
+def with_levels(rows: DataFrame, known: DataFrame, sizes: np.ndarray, cuts: list[tuple[int, int]]) -> DataFrame:
+    """``rows`` with the levels of their tokens in all shards, for :func:`summed_levels`."""
+    spark = rows.sparkSession
+    texts = stored(rows.withColumn("row", F.monotonically_increasing_id()), "lm-texts")
+
+    def probe(share):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bloom = Filter(*share.value)
+            for batch in slices(batches, "text"):
+                right, left, places = tokens(batch.column("text"))
+                codes = read_levels(bloom, left, right)
+                some = np.flatnonzero(codes)
+                text = np.searchsorted(places, some, side="right") - 1
+                held = pa.array((some - places[text]) * SIDE**3 + codes[some])
+                starts = pa.array(np.searchsorted(some, places).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(starts, held)], ["row", "levels"])
+
+        return run
+
+    found = None
+    for first, last in cuts:
+        share = spark.sparkContext.broadcast(_bits(known, sizes, first, last))
+        part = stored(texts.select("row", "text").mapInArrow(probe(share), "row long, levels array<long>").where(F.size("levels") > 0), "lm-levels")
+        share.unpersist()
+        found = part if found is None else found.unionByName(part)
+    by_text = found.groupBy("row").agg(F.flatten(F.collect_list("levels")).alias("levels"))
+    return stored(texts.join(by_text, "row", "left").drop("row"), "lm-levels")
+
+
+def _reader(share):
+    """Words, places and numbers for levels of a batch; without a filter from its column of levels."""
+    bloom = Filter(*share.value) if share else None
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        right, left, places = tokens(batch.column("text"))
+        codes = read_levels(bloom, left, right) if bloom else summed_levels(places, batch.column("levels"))
+        return right, places, codes
+
+    return read
+
+
 def weights(training: DataFrame, share, total: int, distinct: int) -> np.ndarray:
     """The weight of pairs for each level of the left word's count.
 
@@ -235,14 +291,13 @@ def weights(training: DataFrame, share, total: int, distinct: int) -> np.ndarray
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, sums = Filter(*share.value), np.zeros(SIDE**3, np.int64)
+        read, sums = _reader(share), np.zeros(SIDE**3, np.int64)
         for batch in slices(batches, "text"):
-            right, left, _ = tokens(batch.column("text"))
-            sums += np.bincount(read_levels(bloom, left, right), minlength=SIDE**3)
+            sums += np.bincount(read(batch)[2], minlength=SIDE**3)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["code", "n"])
 
-    rows = training.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    rows = training.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     codes, n = rows["code"].to_numpy(np.int64), rows["n"].to_numpy(float)  # SIDE^3 rows at most
     table = np.stack(
         [
@@ -256,14 +311,32 @@ def weights(training: DataFrame, share, total: int, distinct: int) -> np.ndarray
     return best
 
 
-def _bits(known: DataFrame, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """All segments in one array of bytes, fetched one after the other, and where each begins."""
-    rows = known.where("kind = 1")
+def _sizes(known: DataFrame, segments: int) -> np.ndarray:
+    """The bytes of each segment."""
     sizes = np.zeros(segments, np.int64)
-    for r in rows.select("h", "n").collect():  # a row for each segment
+    for r in known.where("kind = 1").select("h", "n").collect():  # a row for each segment
         sizes[r["h"]] = r["n"]
-    starts = np.concatenate([[0], np.cumsum(sizes)])
+    return sizes
+
+
+def shards(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of segments with ``MAX_BITS`` at most, or of one segment."""
+    cuts, held = [0], 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and 8 * (held + n) > MAX_BITS:
+            cuts.append(i)
+            held = 0
+        held += n
+    return list(zip(cuts, [*cuts[1:], len(sizes)], strict=True))
+
+
+def _bits(known: DataFrame, sizes: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's segments in one array of bytes, fetched one after the other, and where each begins."""
+    inside = np.zeros(len(sizes), np.int64)
+    inside[first:last] = sizes[first:last]
+    starts = np.concatenate([[0], np.cumsum(inside)])
     data = np.zeros(int(starts[-1]), np.uint8)  # MAX_BITS at most
+    rows = known.where((F.col("kind") == 1) & (F.col("h") >= first) & (F.col("h") < last))
     for r in rows.select("h", "bits").toLocalIterator():
         data[starts[r["h"]] : starts[r["h"] + 1]] = np.frombuffer(r["bits"], np.uint8)
     return data, starts * 8
@@ -281,8 +354,13 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     counts = known.where("kind = 0").select("h", "n")
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     total, distinct = int(total or 0), int(distinct)
-    share = spark.sparkContext.broadcast(_bits(known, segments))
-    mix = weights(train, share, total, distinct)
+    sizes = _sizes(known, segments)
+    cuts = shards(sizes)
+    share = spark.sparkContext.broadcast(_bits(known, sizes, 0, segments)) if len(cuts) == 1 else None
+    if not share:
+        rows = with_levels(rows, known, sizes, cuts)
+    held = ["text"] if share else ["text", "levels"]
+    mix = weights(rows.where("training").select(*held), share, total, distinct)
     log_p = np.log10(probabilities(np.arange(SIDE**3), mix, total, distinct, False))
     # the least count that HEAD words at most have
     least, n = 1, 0
@@ -299,10 +377,10 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, (common, logs) = Filter(*share.value), head.value
+        read, (common, logs) = _reader(share), head.value
         for batch in slices(batches, "text"):
-            right, left, places = tokens(batch.column("text"))
-            p = log_p[read_levels(bloom, left, right)]
+            right, places, codes = read(batch)
+            p = log_p[codes]
             distinct_words, at = np.unique(right, return_inverse=True)
             place = np.minimum(np.searchsorted(common, distinct_words), max(0, len(common) - 1))
             hit = common[place] == distinct_words if len(common) else np.zeros(len(distinct_words), bool)
@@ -322,7 +400,7 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
             )
 
     first = stored(
-        rows.select("id", "text").mapInArrow(
+        rows.select("id", *held).mapInArrow(
             run, f"id {kind}, n_tokens long, known long, logs double, score double, rest array<long>"
         ).withColumn("row", F.monotonically_increasing_id()),
         "lm-scores",

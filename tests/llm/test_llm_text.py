@@ -325,6 +325,18 @@ def test_margins_do_not_depend_on_the_batch():
             assert together[k][starts[k][i] : starts[k][i + 1]].tolist() == alone[k].tolist()
 
 
+def test_filter_grows_with_the_items_in_bounded_shards(spark, monkeypatch):
+    docs = table(spark, [*corpus(40), *EDGE])
+    found = lambda: sorted((r["doc_id"], r["n_known"], round(r["base_score"], 8), round(r["score"], 8)) for r in lm_scores.scores(docs, ~lm_scores.held_out()).collect())
+    monkeypatch.setattr(lm_scores, "PARTITION_BYTES", 2000)
+    want = found()
+    monkeypatch.setattr(lm_scores, "MAX_BITS", 1 << 12)
+    passes, fetch = [], lm_scores._bits
+    monkeypatch.setattr(lm_scores, "_bits", lambda known, sizes, a, b: passes.append(int(sizes[a:b].sum())) or fetch(known, sizes, a, b))
+    assert found() == want
+    assert len(passes) > 3 and max(passes) <= 2 * (1 << 12) // 8
+
+
 # ------------------------------------------------------------------- pseudonyms
 def luhn(digits):
     return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
