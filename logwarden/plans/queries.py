@@ -523,8 +523,9 @@ def indexed_docs(spark, sf):
     return _described(W.mean_vectors(rows, vectors, LINE, 100), *LINE)
 
 
-#: Searches start from so many nodes of the corpus graph, chosen by hash.
-SOURCES = 8
+def _sources(nodes: DataFrame) -> int | None:
+    """As in the reference: searches from all nodes of a graph of up to 1,000, else from 500."""
+    return None if nodes.count() <= 1000 else 500
 
 
 @query
@@ -532,7 +533,7 @@ def graph_docs(spark, sf):
     rows = stored(_token_lines(spark, sf), "lines")
     nodes, edges = stored(G.graph_nodes(rows), "nodes"), stored(G.cooccurrence_edges(rows), "edges")
     vectors = W.subword_table(rows, rows, trainer="indexed")
-    central = G.centralities(nodes, edges, SOURCES)
+    central = G.centralities(nodes, edges, _sources(nodes))
     return _described(G.graph_vectors(rows, vectors, central, LINE, 100), *LINE)
 
 
@@ -569,7 +570,8 @@ def eigenvector_centrality(spark, sf):
 
 @query
 def betweenness_centrality(spark, sf):
-    return rounded(G.betweenness_centrality(*_graph(spark, sf), SOURCES), "centrality")
+    nodes, edges = _graph(spark, sf)
+    return rounded(G.betweenness_centrality(nodes, edges, _sources(nodes)), "centrality")
 
 
 @query
