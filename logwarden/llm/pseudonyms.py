@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, in DataFrame operations only.
 
 Mail addresses, card numbers (Luhn), IBANs (mod 97), IPv4 addresses, calendar
-dates from 1900 to 2099, US social security numbers and phone numbers are found
+dates from 1900 to 2099 (also before the T of a time), US social security numbers and phone numbers are found
 and validated, and each value is replaced by a keyed permutation of its own
 format: a Feistel network over two residues whose moduli multiply to the number
 of valid values, or over the two halves of a string, character class by character
@@ -34,15 +34,28 @@ KINDS = ("email", "ip", "date", "ssn", "iban", "phone", "intl", "card")
 _EDGE, _STOP = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _DAY, _MONTH, _YEAR = r"(?:0[1-9]|[12][0-9]|3[01])", r"(?:0[1-9]|1[0-2])", r"(?:19|20)[0-9]{2}"
+_DATE_STOP = r"(?!(?![Tt][0-2][0-9])[0-9A-Za-z])"  # a time may follow
+#: the countries whose IBANs have so many characters
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_ACCOUNTS = "|".join(
+    rf"(?:{'|'.join(of.split())})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, of in IBANS.items()
+)
 PATTERNS = (
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@"
     r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
-    *(rf"{_EDGE}{_YEAR}{s}{_MONTH}{s}{_DAY}{_STOP}" for s in ("-", "/", r"\.")),
-    rf"{_EDGE}{_MONTH}/{_DAY}/{_YEAR}{_STOP}",
-    rf"{_EDGE}{_DAY}\.{_MONTH}\.{_YEAR}{_STOP}",
+    *(rf"{_EDGE}{_YEAR}{s}{_MONTH}{s}{_DAY}{_DATE_STOP}" for s in ("-", "/", r"\.")),
+    rf"{_EDGE}{_MONTH}/{_DAY}/{_YEAR}{_DATE_STOP}",
+    rf"{_EDGE}{_DAY}\.{_MONTH}\.{_YEAR}{_DATE_STOP}",
     r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])",
-    rf"{_EDGE}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_STOP}",
+    # the length of the country, so that the next word stays outside; other runs without blanks only
+    rf"{_EDGE}(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{_ACCOUNTS})|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{8,31}}){_STOP}",
     rf"{_EDGE}(?:\+?1[ .-]?)?(?:\([2-9][0-9]{{2}}\) ?|[2-9][0-9]{{2}}[ .-])[2-9][0-9]{{2}}[ .-][0-9]{{4}}{_STOP}",
     rf"(?<![0-9A-Za-z])\+[1-9][0-9]{{7,14}}{_STOP}",
     rf"{_EDGE}(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{2}}[ -][0-9]{{1,7}}"

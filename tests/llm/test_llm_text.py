@@ -375,6 +375,26 @@ def test_pseudonyms_are_linked_valid_permutations(spark):
     assert pseudonyms.pseudonymise(table(spark, [])).count() == 0
 
 
+def test_values_with_words_or_times_behind_them(spark):
+    accounts = ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "NO93 8601 1117 947", "GB82 WEST 1234 5698 7654 32"]
+    behind = ["BIC", "CAIXESBB", "2024", "AB", "7", "2024-05-01", "and"]
+    texts = [f"{a} {b}" for a in accounts for b in behind] + [a.replace(" ", "") + f" {b}" for a in accounts for b in behind]
+    texts += [f"{d}{t}" for d in ("2024-01-15", "2024/01/15", "01/15/2024", "15.01.2024") for t in ("T10:00:00Z", "t23:59", "T10Z", " A", "")]
+    texts += ["2024-01-15Tx", "2024-01-15a", "AB12 CDEF GHIJ 2024-05-01"]
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymise(table(spark, texts)).collect()}
+    for i, t in enumerate(texts[:70]):
+        head, _, last = t.rpartition(" ")
+        new, _, end = got[i]["text"].rpartition(" ")
+        plain = new.replace(" ", "")
+        assert got[i]["n_iban"] == 1 and new != head and len(new) == len(head), t
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+        assert got[i]["n_date"] == (last == "2024-05-01") and (end == last) == (last != "2024-05-01"), t
+    for i, t in enumerate(texts[70:90], 70):
+        assert got[i]["n_date"] == 1 and got[i]["text"][:10] != t[:10] and got[i]["text"][10:] == t[10:], t
+    assert [got[90]["text"], got[91]["text"]] == texts[90:92]
+    assert got[92]["n_date"] == 1 and got[92]["text"].startswith("AB12 CDEF GHIJ ") and got[92]["text"] != texts[92]
+
+
 def test_feistel_is_a_permutation(spark):
     n = spark.range(17 * 43).select(F.floor(F.col("id") / 43).alias("x"), (F.col("id") % 43).alias("y"))
     p = n.select(pseudonyms.feistel("k", "t", F.col("x"), F.col("y"), F.lit(17), F.lit(43)).alias("p"))
