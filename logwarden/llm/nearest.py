@@ -11,7 +11,7 @@ candidate reaches the query's threshold is rejected, and the candidate abandoned
 if its partial product is more than ``Z`` deviations below what the threshold would
 give, or if even the Cauchy-Schwarz bound of the rest does not reach it. Survivors go
 on to the next columns; the last ones get the exact double product of the original
-vectors. The threshold starts at the query's k-th best score against a bounded
+vectors. The threshold starts at the query's k-th best id's score against a bounded
 sample of candidates, whose best ones are kept as hits, so every query gets ``k``.
 
 Centres and starting thresholds come from a sample of ``SAMPLE`` rows at most,
@@ -109,13 +109,18 @@ class Index(NamedTuple):
         return [o[: int(np.searchsorted(h, need)) + 1] for o, h in zip(order, held, strict=True)]
 
     def start(self, ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids and exact scores of each query's ``k`` best in the sample, best first."""
+        """Each query's ``k`` best ids in the sample, with their best rows' exact scores, best first."""
         scores = q @ self.sample.T
         scores[ids[:, None] == self.ids[None, :]] = -np.inf
-        n = min(k, scores.shape[1])
+        first = np.flatnonzero(np.append(True, self.ids[1:] != self.ids[:-1]))  # ids are in order
+        end = np.append(first[1:], len(self.ids))
+        of_id = np.maximum.reduceat(scores, first, 1)
+        n = min(k, len(first))
         out = []
-        for row, vector in zip(np.argpartition(-scores, n - 1, 1)[:, :n] if n else scores[:, :0].astype(int), q, strict=True):
-            row = row[np.isfinite(scores[len(out)][row])]
+        for best, vector in zip(np.argpartition(-of_id, n - 1, 1)[:, :n], q, strict=True):
+            own = scores[len(out)]
+            row = np.array([first[g] + np.argmax(own[first[g] : end[g]]) for g in best], np.int64)
+            row = row[np.isfinite(own[row])]
             exact = (self.sample[row] * vector).sum(1)
             order = np.lexsort((self.ids[row], -exact))
             out.append((self.ids[row][order], exact[order]))
@@ -126,7 +131,7 @@ def scan(
     ids: np.ndarray, x: np.ndarray, rx: np.ndarray, qids: np.ndarray, q: np.ndarray, rq: np.ndarray,
     floor: np.ndarray, k: int,
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The query's place, ids and scores of its k best candidates at or above its floor.
+    """The query's place, ids and scores of its k best ids at or above its floor, each with its best row.
 
     ``rx`` and ``rq`` are the rotated vectors; columns are taken ``COLUMNS`` at a time.
     """
@@ -135,6 +140,7 @@ def scan(
     blocks = [np.ascontiguousarray(rx[:, a:b].T) for a, b in zip([0, *cuts], [*cuts, d], strict=True)]
     rest_x = [np.linalg.norm(rx[:, c:], axis=1) for c in cuts]
     norm_x = np.linalg.norm(rx, axis=1)
+    repeated = len(np.unique(ids)) < len(ids)
     for n in range(len(qids)):
         alive, partial, at = None, 0.0, 0
         bar, scale = floor[n], np.linalg.norm(rq[n]) * norm_x
@@ -157,7 +163,10 @@ def scan(
             continue
         scores = (x[alive] * q[n]).sum(1)
         good = np.flatnonzero(scores >= bar)
-        good = good[np.lexsort((ids[alive][good], -scores[good]))[:k]]
+        good = good[np.lexsort((ids[alive][good], -scores[good]))]
+        if repeated:
+            good = good[np.sort(np.unique(ids[alive][good], return_index=True)[1])]
+        good = good[:k]
         if len(good):
             yield n, ids[alive][good], scores[good]
 
@@ -206,10 +215,15 @@ def nearest(
                 q, ids = _matrix(batch.column("v")), batch.column("id").to_numpy()
                 best = index.start(ids, q, k)
                 floor = [s[-1] if len(s) == k else -np.inf for _, s in best]
+                # with too few ids in the sample, all lists are scanned
+                lists = [
+                    np.arange(len(held)) if f == -np.inf else p
+                    for f, p in zip(floor, index.probes(q, held, k + 1), strict=True)
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id"), batch.column("v"), pa.array(floor, pa.float64()),
-                        pa.array([p.astype(np.int32) for p in index.probes(q, held, k + 1)], pa.list_(pa.int32())),
+                        pa.array([p.astype(np.int32) for p in lists], pa.list_(pa.int32())),
                         pa.array([i for i, _ in best], pa.list_(pa.int64())),
                         pa.array([s for _, s in best], pa.list_(pa.float64())),
                     ],

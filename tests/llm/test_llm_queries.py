@@ -108,6 +108,22 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert hits / (75 * 20) >= 0.9
 
 
+def test_repeated_ids_are_one_candidate(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((90, 16)).astype("f4")
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x) for _ in range(2)]
+    rows += [(7, (3 * x[20] + 0.01 * rng.standard_normal(16)).astype("f4").tolist(), 1) for _ in range(90)]  # a hot id near query 20
+    got = nearest.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0).dropDuplicates(["query_id", "rank"]).toPandas()
+    for i in range(0, 90, 20):
+        best = {}
+        for j, v, _ in rows:
+            if j != i:
+                best[j] = max(best.get(j, -np.inf), float(np.dot(np.array(v, "f4").astype(float), x[i].astype(float))))
+        own = got[got.query_id == i].sort_values("rank")
+        assert own.vec_id.tolist() == sorted(best, key=lambda j: (-best[j], j))[:20]
+        assert own.score.tolist() == pytest.approx([best[j] for j in own.vec_id])
+
+
 def test_odd_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [2.0, 1.0], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [nan, 1.0], 1), (5, [1.0, None], 1),
