@@ -81,3 +81,18 @@ def fresh(taken: list[str], name: str) -> str:
     while name.lower() in {t.lower() for t in taken}:
         name += "_"
     return name
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, from the table of its rule; DuckDB has no function for it."""
+    table = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = (byte >> 1) ^ (0xEDB88320 if byte & 1 else 0)
+        table.append(byte)
+    digits = f"hex(encode({text}))"
+    each = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(x16, 2 * i::bigint + 1, 2))::bigint)"
+    return (
+        f"(select xor(list_reduce([4294967295::bigint] || {each}, "
+        f"lambda a, b: xor(a >> 8, ({table}::bigint[])[(xor(a, b) & 255) + 1])), 4294967295) from (select {digits} x16))"
+    )
