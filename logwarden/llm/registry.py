@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logwarden.llm import fingerprints, language_id, line_dedup, lm_scores, mixing, nearest, ngram_join, packing, pseudonyms, secret_scan, sharding
+from logwarden.llm import fingerprints, language_id, line_dedup, lm_scores, mixing, nearest, ngram_join, packing, prefix_trie, pseudonyms, secret_scan, sharding
 
 QUERIES = {
     "op1_nearest": nearest.op1_nearest,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_pseudonyms": pseudonyms.op10_pseudonyms,
     "op11_sharding": sharding.op11_sharding,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
 }
 ORACLES = {
     "op2_secret_scan": secret_scan.ORACLE_SQL,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
     "op11_sharding": sharding.ORACLE_SQL,
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL,
 }
