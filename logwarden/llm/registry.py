@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logwarden.llm import fingerprints, language_id, line_dedup, lm_scores, mixing, nearest, ngram_join, packing, prefix_trie, pseudonyms, secret_scan, sharding
+from logwarden.llm import fill_middle, fingerprints, language_id, line_dedup, lm_scores, mixing, nearest, ngram_join, packing, prefix_trie, pseudonyms, secret_scan, sharding
 
 QUERIES = {
     "op1_nearest": nearest.op1_nearest,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_pseudonyms": pseudonyms.op10_pseudonyms,
     "op11_sharding": sharding.op11_sharding,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 ORACLES = {
     "op2_secret_scan": secret_scan.ORACLE_SQL,
@@ -24,4 +25,5 @@ ORACLES = {
     "op7_mixing": mixing.ORACLE_SQL,
     "op11_sharding": sharding.ORACLE_SQL,
     "op12_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op13_fill_middle": fill_middle.ORACLE_SQL,
 }
