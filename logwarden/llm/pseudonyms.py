@@ -48,7 +48,8 @@ _ACCOUNTS = "|".join(
 )
 PATTERNS = (
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@"
-    r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    # 32 labels at most, for the matcher's stack; of a longer address the part before the @ is found all the same
+    r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,32}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
     *(rf"{_EDGE}{_YEAR}{s}{_MONTH}{s}{_DAY}{_DATE_STOP}" for s in ("-", "/", r"\.")),
     rf"{_EDGE}{_MONTH}/{_DAY}/{_YEAR}{_DATE_STOP}",

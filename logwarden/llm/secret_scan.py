@@ -36,7 +36,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 IDENT = (
     r"""(?i)\b(?:user|username|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,64}"""
-    r"""|\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"""
+    # one flat class for the labels: a repeated group would take a stack frame for each of them
+    r"""|\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}\.[A-Za-z0-9.-]{0,190}[A-Za-z0-9]"""
 )
 ENDPOINT = (
     r"""\b(?:https?|ftp|ssh|jdbc:[a-z0-9]{1,20}|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\s"'<>]+"""
