@@ -11,11 +11,13 @@ candidate reaches the query's threshold is rejected, and the candidate abandoned
 if its partial product is more than ``Z`` deviations below what the threshold would
 give, or if even the Cauchy-Schwarz bound of the rest does not reach it. Survivors go
 on to the next columns; the last ones get the exact double product of the original
-vectors. The threshold starts at the query's k-th best id's score against a bounded
-sample of candidates, whose best ones are kept as hits, so every query gets ``k``.
+vectors. The threshold is the score of the k-th best id in a small sample of the
+candidates; the sample sets thresholds only, all hits come from the scan of probed lists.
+Queries that find fewer than ``k`` ids there scan all lists once more without a
+threshold. ``probe_share=1`` with ``z=inf`` is exact.
 
-Centres and starting thresholds come from a sample of ``SAMPLE`` rows at most,
-chosen by hash; every row is indexed. Lists are cut into blocks of rows and queries
+Centres and thresholds come from a sample of a sixteenth of the rows, ``SAMPLE_LEAST`` at
+least and ``SAMPLE`` at most, chosen by hash; every row is indexed. Lists are cut into blocks of rows and queries
 into chunks by hash, so a list that holds most rows, or is near to most queries, is
 many small groups. A task's group is one block and one chunk.
 
@@ -40,8 +42,10 @@ from logwarden.session import stored
 
 K = 20
 SAMPLE = 16_384
-PROBE_SHARE = 0.65
-PROBE_ROWS = 4_096
+SAMPLE_LEAST = 512
+SAMPLE_SHARE = 1 / 16
+PROBE_SHARE = 0.7
+PROBE_ROWS = 1_024
 MAX_LISTS = 4_096
 BLOCK_ROWS = 4_096
 CHUNK_ROWS = 4_096
@@ -101,35 +105,25 @@ class Index(NamedTuple):
     def lists(self, x: np.ndarray) -> np.ndarray:
         return np.argmax(_unit(x) @ self.centres.T, 1)
 
-    def probes(self, q: np.ndarray, rows: np.ndarray, at_least: int) -> list[np.ndarray]:
+    def probes(self, q: np.ndarray, rows: np.ndarray, at_least: int, share: float) -> list[np.ndarray]:
         """The nearest lists of each query that hold enough of the ``rows`` in each list."""
         order = np.argsort(-(q @ self.centres.T), 1, kind="stable")
         held = np.cumsum(rows[order], 1)
-        need = min(rows.sum(), max(at_least, PROBE_ROWS, int(np.ceil(PROBE_SHARE * rows.sum()))))
+        need = min(rows.sum(), max(at_least, PROBE_ROWS, int(np.ceil(share * rows.sum()))))
         return [o[: int(np.searchsorted(h, need)) + 1] for o, h in zip(order, held, strict=True)]
 
-    def start(self, ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Each query's ``k`` best ids in the sample, with their best rows' exact scores, best first."""
+    def thresholds(self, ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+        """Each query's score of the k-th best id in the sample, -inf with fewer ids."""
         scores = q @ self.sample.T
         scores[ids[:, None] == self.ids[None, :]] = -np.inf
         first = np.flatnonzero(np.append(True, self.ids[1:] != self.ids[:-1]))  # ids are in order
-        end = np.append(first[1:], len(self.ids))
         of_id = np.maximum.reduceat(scores, first, 1)
-        n = min(k, len(first))
-        out = []
-        for best, vector in zip(np.argpartition(-of_id, n - 1, 1)[:, :n], q, strict=True):
-            own = scores[len(out)]
-            row = np.array([first[g] + np.argmax(own[first[g] : end[g]]) for g in best], np.int64)
-            row = row[np.isfinite(own[row])]
-            exact = (self.sample[row] * vector).sum(1)
-            order = np.lexsort((self.ids[row], -exact))
-            out.append((self.ids[row][order], exact[order]))
-        return out
+        return np.partition(of_id, -k, 1)[:, -k] if len(first) >= k else np.full(len(q), -np.inf)
 
 
 def scan(
     ids: np.ndarray, x: np.ndarray, rx: np.ndarray, qids: np.ndarray, q: np.ndarray, rq: np.ndarray,
-    floor: np.ndarray, k: int,
+    floor: np.ndarray, k: int, z: float = Z,
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The query's place, ids and scores of its k best ids at or above its floor, each with its best row.
 
@@ -150,7 +144,7 @@ def scan(
                 break
             pick = slice(None) if alive is None else alive
             partial, at = partial + rq[n, at : at + len(block)] @ block[:, pick], at + len(block)
-            expected = bar * at / d - Z * wide[pick] * np.sqrt(at * (d - at) / d**3)
+            expected = bar * at / d - z * wide[pick] * np.sqrt(at * (d - at) / d**3)
             reach = partial + np.linalg.norm(rq[n, at:]) * rest_x[b][pick]
             keep = np.flatnonzero((partial >= expected) & (reach >= bar - 1e-9 * abs(bar)))
             alive = keep if alive is None else alive[keep]
@@ -176,7 +170,8 @@ def _cells(total: int, rows: int) -> int:
 
 
 def nearest(
-    vectors: DataFrame, query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K
+    vectors: DataFrame, query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K,
+    probe_share: float = PROBE_SHARE, z: float = Z,
 ) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of ``vectors`` where ``query`` holds."""
     spark = vectors.sparkSession
@@ -187,11 +182,13 @@ def nearest(
     total, queries = rows.count(), asked.count()
     if not total or not queries:
         return spark.createDataFrame([], out)
-    share = min(1.0, 0.9 * SAMPLE / total)
-    draw = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))
-    drawn = rows.where(draw).limit(SAMPLE).toPandas() if share < 1 else rows.toPandas()  # SAMPLE rows at most
+    share = min(1.0, max(SAMPLE_LEAST / total, min(SAMPLE_SHARE, 0.9 * SAMPLE / total)))
+    place = F.xxhash64("id", "v", F.lit(7))
+    # a vector once for each id, SAMPLE rows at most, the same ones in every run
+    drawn = rows.where(F.pmod(place, F.lit(1 << 30)) <= int(share * (1 << 30))).dropDuplicates(["id", "v"])
+    drawn = drawn.orderBy(place, "id").limit(SAMPLE).toPandas()
     if drawn.empty:
-        drawn = rows.limit(1).toPandas()
+        drawn = rows.orderBy(place, "id").limit(1).toPandas()
     fitted = Index.fit(drawn["id"].to_numpy(), np.stack(drawn["v"]), total)
     shared = spark.sparkContext.broadcast(tuple(fitted))  # SAMPLE + MAX_LISTS vectors at most
 
@@ -213,41 +210,27 @@ def nearest(
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
                 q, ids = _matrix(batch.column("v")), batch.column("id").to_numpy()
-                best = index.start(ids, q, k)
-                floor = [s[-1] if len(s) == k else -np.inf for _, s in best]
+                floor = index.thresholds(ids, q, k)
                 # with too few ids in the sample, all lists are scanned
                 lists = [
                     np.arange(len(held)) if f == -np.inf else p
-                    for f, p in zip(floor, index.probes(q, held, k + 1), strict=True)
+                    for f, p in zip(floor, index.probes(q, held, k + 1, probe_share), strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id"), batch.column("v"), pa.array(floor, pa.float64()),
                         pa.array([p.astype(np.int32) for p in lists], pa.list_(pa.int32())),
-                        pa.array([i for i, _ in best], pa.list_(pa.int64())),
-                        pa.array([s for _, s in best], pa.list_(pa.float64())),
                     ],
-                    ["id", "v", "floor", "lists", "seeds", "scores"],
+                    ["id", "v", "floor", "lists"],
                 )
 
-    probed = stored(
-        asked.mapInArrow(
-            probe, "id long, v array<double>, floor double, lists array<int>, seeds array<long>, scores array<double>"
-        ),
-        "probed-queries",
-    )
+    probed = stored(asked.mapInArrow(probe, "id long, v array<double>, floor double, lists array<int>"), "probed-queries")
     # a list is cut by its size, and the queries by how many there are
     blocks = F.get(F.array(*(F.lit(_cells(int(n), BLOCK_ROWS)) for n in held)), F.col("list"))
     cut = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), n).cast("int")
     each = lambda n: F.sequence(F.lit(0), n - 1)
     chunks = F.lit(_cells(queries, CHUNK_ROWS))
     left = dealt.withColumn("block", cut(blocks)).withColumn("chunk", F.explode(each(chunks)))
-    right = (
-        probed.withColumn("chunk", cut(chunks))
-        .withColumn("list", F.explode("lists"))
-        .withColumn("block", F.explode(each(blocks)))
-        .drop("lists", "seeds", "scores")
-    )
 
     def compare(table: pa.Table, asks: pa.Table) -> pa.Table:
         found = []
@@ -257,7 +240,7 @@ def nearest(
             found = [
                 (qids[n], i, s)
                 for n, ids, scores in scan(
-                    table.column("id").to_numpy(), x, x @ turn, qids, q, q @ turn, asks.column("floor").to_numpy(), k
+                    table.column("id").to_numpy(), x, x @ turn, qids, q, q @ turn, asks.column("floor").to_numpy(), k, z
                 )
                 for i, s in zip(ids, scores, strict=True)
             ]
@@ -267,11 +250,21 @@ def nearest(
         )
 
     keys = ["list", "block", "chunk"]
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
-    seeds = probed.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("seeds", "scores")).alias("s")).select(
-        "query_id", F.col("s.seeds").alias("vec_id"), F.col("s.scores").alias("score")
-    )
-    hits = hits.unionByName(seeds).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    def hits_of(asks: DataFrame) -> DataFrame:
+        right = asks.withColumns({"chunk": cut(chunks), "list": F.explode("lists")}).withColumn("block", F.explode(each(blocks)))
+        found = left.groupBy(*keys).cogroup(right.drop("lists").groupBy(*keys)).applyInArrow(
+            compare, "query_id long, vec_id long, score double"
+        )
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    hits = stored(hits_of(probed), "hits")
+    counts = hits.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"))
+    few = probed.where(F.col("floor") > float("-inf")).join(counts, "id", "left").where(F.coalesce("n", F.lit(0)) < k).drop("n")
+    if not few.isEmpty():
+        everywhere = F.sequence(F.lit(0), F.lit(len(held) - 1))
+        more = hits_of(few.withColumns({"floor": F.lit(float("-inf")), "lists": everywhere}))
+        hits = hits.unionByName(more).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

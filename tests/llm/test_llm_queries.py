@@ -87,7 +87,7 @@ def vectors(spark, rows):
 
 def test_neighbours_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(nearest, "PROBE_ROWS", 64)
-    monkeypatch.setattr(nearest, "SAMPLE", 300)
+    monkeypatch.setattr(nearest, "SAMPLE_LEAST", 150)
     monkeypatch.setattr(nearest, "BLOCK_ROWS", 50)
     monkeypatch.setattr(nearest, "CHUNK_ROWS", 20)
     rng = np.random.default_rng(4)
@@ -113,7 +113,8 @@ def test_repeated_ids_are_one_candidate(spark):
     x = rng.standard_normal((90, 16)).astype("f4")
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x) for _ in range(2)]
     rows += [(7, (3 * x[20] + 0.01 * rng.standard_normal(16)).astype("f4").tolist(), 1) for _ in range(90)]  # a hot id near query 20
-    got = nearest.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0).dropDuplicates(["query_id", "rank"]).toPandas()
+    exact = nearest.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0, probe_share=1.0, z=np.inf)
+    got = exact.dropDuplicates(["query_id", "rank"]).toPandas()
     for i in range(0, 90, 20):
         best = {}
         for j, v, _ in rows:
