@@ -41,6 +41,8 @@ def compare(got: pd.DataFrame, want: pd.DataFrame) -> str:
         return f"rows {len(got)} != {len(want)}"
     a, b = tidy(got), tidy(want)
     for c in a.columns:
+        if a[c].dtype == "float64" and b[c].dtype in ("Int32", "Int64"):  # a column of whole numbers and nulls
+            b[c] = b[c].astype("float64")
         if a[c].dtype != b[c].dtype:
             return f"{c}: type {a[c].dtype} != {b[c].dtype}"
         off = ~((a[c] == b[c]) | (a[c].isna() & b[c].isna()))
