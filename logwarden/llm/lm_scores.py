@@ -6,10 +6,11 @@ filter holds the items (n-gram, 1) to (n-gram, q); a count is read back by probi
 (n-gram, 1), (n-gram, 2), ... until one is not there, and stands for the middle of
 its level. The filter is made in segments by hash, each by one task from that
 segment's counts; it has ``BITS_PER_ITEM`` bits for an item, however many there are.
-It is broadcast in shards, runs of segments of ``MAX_BITS`` at most. With one shard
-texts are read against it directly; with more, each shard's pass over the texts
-returns the levels it holds of each token, and these are summed per text, so that
-levels do not depend on the number of shards. Every shard costs a pass.
+A filter of ``MAX_BITS`` at most is broadcast and read directly. A larger one stays in
+shards, runs of segments of ``SHARD_BITS``, and the probes travel: texts are cut into
+parts of about a megabyte, each part sends its distinct n-grams to their shards, every
+shard answers with the levels it holds, and the answers meet their part again. That is
+one pass over the texts however many shards there are; the levels are the same.
 
 p(w | v) = m c(v w) / c(v) + (1 - m) (c(w) + 1) / (N + V + 1), all counts read from
 the filter, N tokens and V distinct tokens of the training texts. The weight m
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,8 @@ from logwarden.session import stored
 HASHES = 4
 BITS_PER_ITEM = 8
 MAX_BITS = 1 << 30
+SHARD_BITS = 1 << 28
+PART_BYTES = 1 << 20
 SEGMENT_BITS = 1 << 32
 HEAD = 1 << 19
 PARTITION_BYTES = 8 << 20
@@ -104,7 +108,7 @@ def make_segment(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> np.nda
 
 
 class Filter:
-    """Segments in one array of bytes, with the bit where each begins; those of other shards are empty."""
+    """Segments in one array of bytes, with the bit where each begins; those not there are empty."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray) -> None:
         self.data, self.starts = data, starts
@@ -212,7 +216,7 @@ def gather(training: DataFrame, segments: int, partitions: int) -> DataFrame:
     return counts.repartition(partitions, "segment").mapInArrow(build, "kind int, h long, n long, bits binary")
 
 
-def read_levels(bloom: Filter, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def read_levels(bloom: Filter | Answers, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """One number for the levels of the left word, the pair and the word of each token."""
     distinct, at = np.unique(np.append(right, END), return_inverse=True)
     level = bloom.level(word_keys(distinct))
@@ -234,42 +238,123 @@ def probabilities(codes: np.ndarray, weight: np.ndarray | float, total: int, dis
     return m * share + (1 - m) * (one + 1) / (total + distinct + 1)
 
 
-def summed_levels(places: np.ndarray, held: pa.Array) -> np.ndarray:
-    """What :func:`read_levels` gives for all shards, from each text's list of place * SIDE^3 + number."""
-    of = np.repeat(places[:-1], pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False))
-    values = held.flatten().to_numpy(zero_copy_only=False)
-    out = np.zeros(places[-1], np.int64)
-    np.add.at(out, of + values // SIDE**3, values % SIDE**3)
-    return out
+class Answers:
+    """Levels of n-grams that the shards have sent back; all others are 0."""
+
+    def __init__(self, keys: np.ndarray, held: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.held = keys[order], held[order].astype(np.int64)
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.held[at], 0)
+
+
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with ``part``, equal for neighbours of about ``PART_BYTES`` together."""
+    part, size = TaskContext.get().partitionId() << 32, 0
+    for batch in slices(batches, "text", PART_BYTES):
+        size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        numbers = pa.array(np.full(batch.num_rows, part))
+        yield pa.RecordBatch.from_arrays([*batch.columns, numbers], [*batch.schema.names, "part"])
+        if size >= PART_BYTES:
+            part, size = part + 1, 0
+
+
+def _probes(shard_of: np.ndarray):
+    """shard, part, keys: each part's distinct n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                right, left, _ = tokens(batch.column("text").slice(a, b - a))
+                keys = np.unique(np.concatenate([word_keys(np.unique(np.append(right, END))), pair_keys(left, right)]))
+                shard = shard_of[segment_of(keys, len(shard_of))]
+                order = np.argsort(shard, kind="stable")
+                ends = np.flatnonzero(np.diff(shard[order])) + 1
+                pieces = np.split(order, ends)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(shard[x[0]]) for x in pieces], pa.int32()), pa.array([int(part[a])] * len(pieces), pa.int64()),
+                        pa.array([keys[x].tobytes() for x in pieces], pa.binary()),
+                    ],
+                    ["shard", "part", "data"],
+                )
+
+    return run
+
+
+def _answered(sizes: np.ndarray, cuts: list[tuple[int, int]]):
+    """part, keys, levels; the segments of a shard come before its probes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, data, starts = -1, None, None
+        for batch in batches:
+            columns = (batch.column(c) for c in ("shard", "kind", "part", "data"))
+            for shard, kind, part, bits in zip(*columns, strict=True):
+                if shard.as_py() != now:
+                    now = shard.as_py()
+                    first, last = cuts[now]
+                    inside = np.zeros(len(sizes), np.int64)
+                    inside[first:last] = sizes[first:last]
+                    starts = np.concatenate([[0], np.cumsum(inside)])
+                    data = np.zeros(int(starts[-1]), np.uint8)  # SHARD_BITS, or one segment
+                if kind.as_py() == 0:
+                    h = part.as_py()
+                    data[starts[h] : starts[h + 1]] = np.frombuffer(bits.as_buffer(), np.uint8)
+                    continue
+                keys = np.frombuffer(bits.as_buffer(), np.uint64)
+                level = Filter(data, starts * 8).level(keys)
+                held = np.flatnonzero(level)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([part.as_py()], pa.int64()), pa.array([keys[held].tobytes()], pa.binary()),
+                        pa.array([level[held].astype(np.uint8).tobytes()], pa.binary()),
+                    ],
+                    ["part", "keys", "levels"],
+                )
+
+    return run
 
 
 def with_levels(rows: DataFrame, known: DataFrame, sizes: np.ndarray, cuts: list[tuple[int, int]]) -> DataFrame:
-    """``rows`` with the levels of their tokens in all shards, for :func:`summed_levels`."""
-    spark = rows.sparkSession
-    texts = stored(rows.withColumn("row", F.monotonically_increasing_id()), "lm-texts")
-
-    def probe(share):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bloom = Filter(*share.value)
-            for batch in slices(batches, "text"):
-                right, left, places = tokens(batch.column("text"))
-                codes = read_levels(bloom, left, right)
-                some = np.flatnonzero(codes)
-                text = np.searchsorted(places, some, side="right") - 1
-                held = pa.array((some - places[text]) * SIDE**3 + codes[some])
-                starts = pa.array(np.searchsorted(some, places).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(starts, held)], ["row", "levels"])
-
-        return run
-
-    found = None
-    for first, last in cuts:
-        share = spark.sparkContext.broadcast(_bits(known, sizes, first, last))
-        part = stored(texts.select("row", "text").mapInArrow(probe(share), "row long, levels array<long>").where(F.size("levels") > 0), "lm-levels")
-        share.unpersist()
-        found = part if found is None else found.unionByName(part)
-    by_text = found.groupBy("row").agg(F.flatten(F.collect_list("levels")).alias("levels"))
-    return stored(texts.join(by_text, "row", "left").drop("row"), "lm-levels")
+    """``rows`` with ``levels``, a number for the levels of each token, read from a filter in shards."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    names = rows.columns
+    texts = stored(rows.mapInArrow(_in_parts, f"{kinds}, part long"), "lm-parts")
+    shard_of = np.repeat(np.arange(len(cuts), dtype=np.int32), [b - a for a, b in cuts])
+    firsts = F.array(*(F.lit(a) for a, _ in cuts))
+    segments = known.where("kind = 1").select(
+        (F.size(F.filter(firsts, lambda a: a <= F.col("h"))) - 1).alias("shard"), F.lit(0).alias("kind"),
+        F.col("h").alias("part"), F.col("bits").alias("data"),
+    )
+    probes = texts.select("text", "part").mapInArrow(_probes(shard_of), "shard int, part long, data binary").select(
+        "shard", F.lit(1).alias("kind"), "part", "data"
+    )
+    answers = (
+        segments.unionByName(probes).repartition(len(cuts), "shard").sortWithinPartitions("shard", "kind")
+        .mapInArrow(_answered(sizes, cuts), "part long, keys binary, levels binary")
+    )
+
+    def read(table: pa.Table, found: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x, np.uint64) for x in found.column("keys").to_pylist()]
+        held = [np.frombuffer(x, np.uint8) for x in found.column("levels").to_pylist()]
+        source = Answers(*(np.concatenate([np.zeros(0, t), *x]) for x, t in ((keys, np.uint64), (held, np.uint8))))
+        table = table.combine_chunks()
+        if not table.num_rows:
+            return table.select(names).append_column("levels", pa.array([], pa.list_(pa.int32())))
+        right, left, places = tokens(table.column("text").chunk(0))
+        codes = pa.array(read_levels(source, left, right).astype(np.int32))
+        return table.select(names).append_column("levels", pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), codes))
+
+    met = texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(read, f"{kinds}, levels array<int>")
+    return stored(met, "lm-levels")
 
 
 def _reader(share):
@@ -278,7 +363,7 @@ def _reader(share):
 
     def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         right, left, places = tokens(batch.column("text"))
-        codes = read_levels(bloom, left, right) if bloom else summed_levels(places, batch.column("levels"))
+        codes = read_levels(bloom, left, right) if bloom else batch.column("levels").flatten().to_numpy().astype(np.int64)
         return right, places, codes
 
     return read
@@ -320,24 +405,21 @@ def _sizes(known: DataFrame, segments: int) -> np.ndarray:
 
 
 def shards(sizes: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of segments with ``MAX_BITS`` at most, or of one segment."""
+    """Runs of segments with ``SHARD_BITS`` at most, or of one segment."""
     cuts, held = [0], 0
     for i, n in enumerate(sizes.tolist()):
-        if held and 8 * (held + n) > MAX_BITS:
+        if held and 8 * (held + n) > SHARD_BITS:
             cuts.append(i)
             held = 0
         held += n
     return list(zip(cuts, [*cuts[1:], len(sizes)], strict=True))
 
 
-def _bits(known: DataFrame, sizes: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-    """A shard's segments in one array of bytes, fetched one after the other, and where each begins."""
-    inside = np.zeros(len(sizes), np.int64)
-    inside[first:last] = sizes[first:last]
-    starts = np.concatenate([[0], np.cumsum(inside)])
+def _bits(known: DataFrame, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All segments in one array of bytes, fetched one after the other, and where each begins."""
+    starts = np.concatenate([[0], np.cumsum(sizes)])
     data = np.zeros(int(starts[-1]), np.uint8)  # MAX_BITS at most
-    rows = known.where((F.col("kind") == 1) & (F.col("h") >= first) & (F.col("h") < last))
-    for r in rows.select("h", "bits").toLocalIterator():
+    for r in known.where("kind = 1").select("h", "bits").toLocalIterator():
         data[starts[r["h"]] : starts[r["h"] + 1]] = np.frombuffer(r["bits"], np.uint8)
     return data, starts * 8
 
@@ -355,10 +437,9 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     total, distinct = int(total or 0), int(distinct)
     sizes = _sizes(known, segments)
-    cuts = shards(sizes)
-    share = spark.sparkContext.broadcast(_bits(known, sizes, 0, segments)) if len(cuts) == 1 else None
+    share = spark.sparkContext.broadcast(_bits(known, sizes)) if 8 * int(sizes.sum()) <= MAX_BITS else None
     if not share:
-        rows = with_levels(rows, known, sizes, cuts)
+        rows = with_levels(rows, known, sizes, shards(sizes))
     held = ["text"] if share else ["text", "levels"]
     mix = weights(rows.where("training").select(*held), share, total, distinct)
     log_p = np.log10(probabilities(np.arange(SIDE**3), mix, total, distinct, False))
