@@ -156,7 +156,7 @@ def communication_matrix(counts: DataFrame, levels: int, shards: int = SHARDS) -
     exact = [n // shards + (s < n % shards) for s in range(shards)]
     spark = counts.sparkSession
     nodes = spark.range(1).select(
-        F.lit(0).cast("long").alias("node"), F.array(*(F.lit(x).cast("long") for x in exact)).alias("row")
+        F.col("id").alias("node"), F.array(*(F.lit(x).cast("long") for x in exact)).alias("row")
     )
     fan = 1 << RADIX_BITS
     for level in range(levels):
