@@ -33,11 +33,13 @@ def test_every_method_gives_one_vector_per_record(spark, records, method, width)
 def test_train_and_evaluate(spark, records, tmp_path):
     vectors = EV.labelled_vectors(E.embed(records, "tfidf", size=4))
     ids = vectors.withColumn("id", F.xxhash64("id"))
-    board = EV.train_and_evaluate(
-        ids, "tfidf", {"lr": {}, "knn": {}, "rf": {"trees": 5, "depth": 3}}, str(tmp_path / "r"), str(tmp_path / "m")
-    ).collect()
+    models = {"lr": {}, "knn": {}, "rf": {"trees": 5, "depth": 3}, "gbt": {"rounds": 3, "depth": 2}, "svm": {}}
+    board = EV.train_and_evaluate(ids, "tfidf", models, str(tmp_path / "r"), str(tmp_path / "m")).collect()
     assert (tmp_path / "m/tfidf/lr").is_dir()
-    assert {r["model"] for r in board} == {"lr", "knn", "rf"} and board[0]["accuracy"] > 0.95
+    assert {r["model"] for r in board} == set(models) and board[0]["accuracy"] > 0.95
+    again = EV.train_and_evaluate(ids, "tfidf", models, None, str(tmp_path / "m")).collect()
+    assert [tuple(r) for r in again] == [tuple(r) for r in board]  # with the seconds of the first fit
+    assert all((r["seconds"] > 0) == (r["model"] != "knn") for r in board)
     assert spark.read.option("header", "true").csv(str(tmp_path / "r/tfidf/lr/class_metrics")).count() == 2
 
 
