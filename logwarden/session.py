@@ -54,13 +54,36 @@ def small_table(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= most_rows else kept
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the stored copy.
 
+    ``file_rows`` bounds the rows of a file where a row takes megabytes: Parquet's
+    reader decodes thousands of rows of a file at once.
+
     Used where a result is read many times (iterations, several models). The
     copy outlives lost executors and gives the next plan a short lineage.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._stored_at = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more.
+
+    For states of an iteration: once the next one is written, no plan goes back to the
+    one before, also after an executor is lost. Other tables are left alone.
+    """
+    for table in tables:
+        place = getattr(table, "_stored_at", None)
+        if place:
+            remove(table.sparkSession, place)
+
+
+def remove(spark: SparkSession, place: str) -> None:
+    """Deletes a folder of our own below the shared one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

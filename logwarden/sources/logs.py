@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logwarden.functions.labels import MARK, STRICT
 from logwarden.functions.text import not_blank
 from logwarden.session import stored
+from logwarden.sources.hidden import hidden_files, hidden_lines
 
 # Name endings that stand for a text/* media type.
 TEXT_ENDINGS = (
@@ -45,7 +46,8 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     """``(uri, path, rel, length)`` of all files below ``root``; dot files are left out.
 
     The binary source is asked for no content column, so nothing is read. Spark
-    leaves out files of length zero, which hold no lines.
+    leaves out files of length zero, which hold no lines. Names that Spark's readers
+    hide, such as ``_app.log``, are listed on their own.
     """
     files = (
         spark.read.format("binaryFile")
@@ -53,6 +55,10 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         .load(root)
         .select(F.col("path").alias("uri"), plain_path(F.col("path")).alias("path"), "length")
     )
+    unseen = hidden_files(spark, root)
+    if unseen:
+        more = spark.createDataFrame(unseen, "uri string, length long").where("length > 0")
+        files = files.unionByName(more.withColumn("path", plain_path(F.col("uri"))))
     base = qualified(spark, root)
     below = F.substring(F.col("path"), len(base) + 2, 1 << 30)
     rel = F.when(F.startswith("path", F.lit(base + "/")), below).otherwise(F.regexp_extract("path", "([^/]*)$", 1))
@@ -91,8 +97,13 @@ def text_files(files: DataFrame, root: str) -> DataFrame:
             F.monotonically_increasing_id().alias("rid"),
             F.col("value").cast("binary").alias("value"),
         )
-        .where("start = 0").join(unsure, "path", "left_semi")
+        .where("start = 0")
     )
+    unseen = hidden_files(files.sparkSession, root)
+    if unseen:
+        heads = hidden_lines(files.sparkSession, [(uri, min(n, HEAD_BYTES)) for uri, n in unseen])
+        lines = lines.unionByName(heads.select(plain_path(F.col("uri")).alias("path"), "start", F.col("i").alias("rid"), "value"))
+    lines = lines.join(unsure, "path", "left_semi")
     order = Window.partitionBy("path").orderBy("rid")
     first = lines.withColumn("i", F.row_number().over(order)).where(F.col("i") <= HEAD_BYTES)
     before = F.sum(F.octet_length("value") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -117,6 +128,8 @@ def log_lines(spark: SparkSession, root: str, numbering: str = "raw", files: Dat
     offset of each split. No line is sorted or shuffled for its number: the
     table of splits is broadcast when it has been counted as small enough.
 
+    Files that Spark's readers hide are read by ``hidden`` and numbered alike.
+
     ``numbering="raw"`` counts all lines as label files do, ``"compact"`` counts
     the non-blank ones only. With ``files``, only lines of its paths are kept and
     its other columns come along, by way of the splits.
@@ -132,6 +145,12 @@ def log_lines(spark: SparkSession, root: str, numbering: str = "raw", files: Dat
             F.monotonically_increasing_id().alias("rid"),
         )
     )
+    unseen = hidden_files(spark, root)
+    if unseen:
+        more = hidden_lines(spark, unseen)
+        scanned = scanned.unionByName(
+            more.select(plain_path(F.col("uri")).alias("path"), "start", F.make_valid_utf8("value").alias("log"), F.col("i").alias("rid"))
+        )
     kept = scanned.where(not_blank(F.col("log")))
     counted = kept if numbering == "compact" else scanned
     splits = split_offsets(

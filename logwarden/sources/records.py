@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logwarden.sources.hidden import opened
+
 RECORD_SCHEMA = "path string, line_no bigint, log string, y string, dataset string, category string"
 EMBEDDING_SCHEMA = "id string, features array<double>, y string, split string"
 
@@ -23,7 +29,10 @@ def write_records(records: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 
 def read_records(spark: SparkSession, path: str, skip_bad_files: bool = True) -> DataFrame:
-    """All labelled records; a damaged file is skipped, an empty folder is an error."""
+    """All labelled records; a damaged file is skipped, an empty folder is an error.
+
+    :func:`damaged_files` says which files are skipped, and why.
+    """
     return (
         spark.read.schema(RECORD_SCHEMA)
         .option("ignoreCorruptFiles", str(skip_bad_files).lower())
@@ -31,6 +40,32 @@ def read_records(spark: SparkSession, path: str, skip_bad_files: bool = True) ->
     )
 
 
+def damaged_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, reason)`` of the Parquet files below ``path`` that readers would skip.
+
+    A task looks at a file's last bytes only: Parquet's mark at both ends and a footer
+    that lies inside the file and can be parsed.
+    """
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+        .load(path).select(F.col("path").alias("file"), "length")
+    )
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = []
+            for uri in batch.column("file").to_pylist():
+                try:
+                    with opened(uri) as source:
+                        pq.ParquetFile(source).metadata  # noqa: B018
+                except (pa.ArrowException, OSError) as error:
+                    bad.append((uri, str(error).split("\n")[0]))
+            columns = list(zip(*bad, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["file", "reason"])
+
+    return files.select("file").mapInArrow(check, "file string, reason string")
+
+
 def write_embeddings(vectors: DataFrame, path: str) -> None:
     vectors.select("id", "features", "y", "split").write.mode("overwrite").partitionBy(
         "split"

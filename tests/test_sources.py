@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logwarden.plans.preprocess import labelled_records, preprocess
+from logwarden.sources import hidden as H
 from logwarden.sources import logs as L
 from logwarden.sources import records as R
 
@@ -46,6 +47,43 @@ def test_lines_keep_raw_numbers_and_drop_blanks(spark, tmp_path):
     assert compact["x.log"] == {1: "one", 2: "four", 3: "five", 4: "seven"}
 
 
+def test_files_that_readers_hide(spark, tmp_path, monkeypatch):
+    text = "\n".join(f"line {i}" if i % 5 else "" for i in range(1, 400))
+    root = tree(
+        tmp_path / "a b",
+        {"_app.log": text, "x/_sub/.deep.d/b.log": "one\r\ntwo\rthree", "x/.dot.log": "no", "x/_dot/.no": "no", "seen.log": "seen\n", "_e.log": "",
+         "x/y/_bin.dat": b"a\x00b\nc", "x/y/_named": b"plain\n\xff\n", "k=v/_z.log": "zed\n"},
+    )
+    for size in (16 << 20, 64, 7, 1):
+        if size == 1:
+            root2 = tree(tmp_path / "small", {"_c.log": "one\r\ntwo\rthree\n\nfour", "d.log": "x"})
+        monkeypatch.setattr(H, "RANGE_BYTES", size)
+        got = by_file(L.log_lines(spark, root if size != 1 else root2))
+        if size == 1:
+            assert got["_c.log"] == {1: "one", 2: "two", 3: "three", 5: "four"}
+        else:
+            assert got["_app.log"] == {i: f"line {i}" for i in range(1, 400) if i % 5}
+            assert got["b.log"] == {1: "one", 2: "two", 3: "three"} and got["_z.log"] == {1: "zed"}
+            assert set(got) == {"_app.log", "b.log", "seen.log", "_bin.dat", "_named", "_z.log"}
+        if size != 64:
+            continue
+        compact = by_file(L.log_lines(spark, root, numbering="compact"))
+        assert compact["_app.log"] == {n: f"line {i}" for n, i in enumerate((i for i in range(1, 400) if i % 5), 1)}
+    files = L.list_files(spark, root)
+    assert {r["rel"] for r in files.collect()} >= {"_app.log", "x/_sub/.deep.d/b.log", "x/y/_bin.dat"}
+    assert {r["rel"] for r in L.text_files(files, root).collect()} == {"_app.log", "x/_sub/.deep.d/b.log", "seen.log", "x/y/_named", "k=v/_z.log"}
+
+
+def test_damaged_files_are_reported(spark, tmp_path):
+    spark.range(40).repartition(3).write.parquet(str(tmp_path / "r/k=1"))
+    good = sorted((tmp_path / "r/k=1").glob("*.parquet"))
+    (tmp_path / "r/k=1/cut.parquet").write_bytes(good[0].read_bytes()[:-9])
+    (tmp_path / "r/k=1/none.parquet").write_bytes(b"not a table")
+    got = {r["file"].rsplit("/", 1)[1]: r["reason"] for r in R.damaged_files(spark, str(tmp_path / "r")).collect()}
+    assert set(got) == {"cut.parquet", "none.parquet"} and all(got.values())
+    assert spark.read.schema("id long").option("ignoreCorruptFiles", "true").parquet(str(tmp_path / "r")).count() == 40
+
+
 @pytest.mark.parametrize("numbering", ["raw", "compact"])
 def test_numbering_over_many_splits(spark, tmp_path, numbering):
     text = [("" if i % 7 == 0 else f"line {i} " + "x" * (i % 50)) for i in range(1, 3001)]
