@@ -476,6 +476,20 @@ plan AS (
 ORACLES["synthetic_rows"] = f"""
 WITH {BINARY}
 SELECT label, need AS rows, need AS distinct_rows, need AS inside FROM plan WHERE need > 0"""
+_PICK = "('0x' || substr(md5(concat_ws('|', 42, label, row, '{}')), 1, 13))::bigint"
+ORACLES["interpolated_rows"] = f"""
+WITH {BINARY},
+x AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v,
+        CASE WHEN label = 0 THEN 'attack' ELSE 'normal' END AS label,
+        md5(concat_ws('|', 42, 'number', vec_id::varchar)) AS h FROM embeddings),
+k AS (SELECT *, row_number() OVER (PARTITION BY label
+        ORDER BY ('0x' || substr(h, 1, 8))::bigint % 4096, h) - 1 AS number FROM x),
+w AS (SELECT label, n, unnest(range(need)) AS row FROM plan WHERE need > 0),
+p AS (SELECT *, {_PICK.format("a")} % n AS a, {_PICK.format("b")} % n AS b,
+        {_PICK.format("t")} / 4503599627370496.0::DOUBLE AS share FROM w)
+SELECT p.label, p.row, c.id AS first_id, d.id AS second_id, round(share, 6) + 0 AS share,
+  round(list_sum(list_transform(range(1, len(c.v) + 1), lambda i: c.v[i] + share * (d.v[i] - c.v[i]))), 4) + 0 AS total
+FROM p JOIN k c ON c.label = p.label AND c.number = p.a JOIN k d ON d.label = p.label AND d.number = p.b"""
 ORACLES["augmented_union"] = f"""
 WITH {BINARY}
 SELECT 'augmented' AS arm, 'real' AS origin, label, n AS rows FROM plan

@@ -669,6 +669,17 @@ def synthetic_rows(spark, sf):
     )
 
 
+@query
+def interpolated_rows(spark, sf):
+    """Synthetic rows between two real ones: which, where, and the sum of the features."""
+    rows = _binary(spark, sf)
+    made = A.interpolated_rows(A.minority_plan(rows, 0.2), rows)
+    return made.select(
+        "label", "row", "first_id", "second_id", r("share").alias("share"),
+        r(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 4).alias("total"),
+    )
+
+
 @query
 def augmented_union(spark, sf):
     rows, _, made = _synthetic(spark, sf)
