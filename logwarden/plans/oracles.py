@@ -503,3 +503,4 @@ ORACLES["alerts_per_window"] = """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS label,
        count(*) AS alerts
 FROM events GROUP BY ALL"""
+ORACLES["stream_numbered_lines"] = ORACLES["numbered_lines"]

@@ -25,6 +25,7 @@ from logwarden.session import scratch_path, stored
 from logwarden.sources import logs as L
 from logwarden.sources import records as R
 from logwarden.sources import tables as T
+from logwarden.streaming.numbering import numbered_pieces
 from logwarden.streaming.scoring import alerts_per_window
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -718,3 +719,27 @@ def alerts_by_hour(spark, sf):
     return counted.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "label", "alerts"
     )
+
+
+@query
+def stream_numbered_lines(spark, sf):
+    """The documents sent in three pieces each, numbered as a stream of several batches."""
+    docs = T.table(spark, sf, "documents").where("text is not null")
+    n = F.ceil(F.length("text") / 3).cast("int")
+    pieces = docs.select("doc_id", "text", n.alias("n"), F.explode(F.array(*map(F.lit, range(3)))).alias("k")).select(
+        F.col("doc_id").cast("string").alias("path"),
+        F.col("k").cast("bigint").alias("seq"),
+        (F.col("k") == 2).alias("last"),
+        F.substring("text", F.col("k") * F.col("n") + 1, F.col("n")).alias("text"),
+    )
+    sent, out = scratch_path(spark, "pieces"), scratch_path(spark, "numbered")
+    pieces.repartition(6).write.parquet(sent)
+    stream = spark.readStream.schema(pieces.schema).option("maxFilesPerTrigger", 2).parquet(sent)
+    run = (
+        numbered_pieces(stream).writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", scratch_path(spark, "stream")).trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return spark.read.schema("path string, line_no bigint, log string").parquet(out).select(
+        F.col("path").cast("bigint").alias("doc_id"), "line_no", "log"
+    )
