@@ -32,14 +32,13 @@ class LineNumbers(StatefulProcessor):
         }
         numbers, logs = [], []
         while True:
-            if seq in here:
-                text, last = here.pop(seq)
-            elif kept and self.waiting.containsKey((seq,)):
-                text, last = self.waiting.getValue((seq,))
+            waited = kept and self.waiting.containsKey((seq,))
+            if not waited and seq not in here:
+                break
+            text, last = here.pop(seq) if seq in here else self.waiting.getValue((seq,))
+            if waited:
                 self.waiting.removeKey((seq,))
                 kept -= 1
-            else:
-                break
             lines = (tail + text).split("\n")
             tail = "" if last else lines.pop()
             logs += lines
@@ -47,6 +46,7 @@ class LineNumbers(StatefulProcessor):
             line, seq = line + len(lines), seq + 1
         for s, piece in here.items():
             if s > seq:  # what is behind has been numbered already
+                kept -= kept and self.waiting.containsKey((s,))  # sent again
                 self.waiting.updateValue((s,), piece)
                 kept += 1
         self.place.update((seq, line, tail, kept))
