@@ -6,7 +6,15 @@ each source; the n-gram join keeps one document of each group of near copies (fi
 words, similarity 0.8); mixing repeats documents by the target weights of their
 sources and leaves out those that are not taken; packing cuts all tokens into
 sequences. ``run`` gives the pieces. The stages learn (a classifier) and tokenise,
-which SQL can't express, so there is no SQL twin; the tests hold a brute-force one.
+which SQL can't express, so there is no SQL twin; tests check each stage on a planted
+corpus.
+
+Null texts and texts without letters are rejected by the first stage, so no later one
+meets them; a null source is one source, and null ids are documents like others. Equal
+rows and copies of a text are one group of near copies, of which the row with the least
+id stays (null ids last, ties by text digest; rows equal in both are one). An empty table
+gives no pieces. All but the last stage return the columns of ``documents`` only, whatever
+other columns the table has or a stage adds, so clashing names cannot pass on.
 """
 
 from __future__ import annotations
