@@ -19,7 +19,7 @@ from logwarden.operators import word_vectors as W
 from logwarden.operators.models import model_predictions
 from logwarden.operators.neighbors import knn_predictions, nearest_neighbors
 from logwarden.operators.projection import pca_projection
-from logwarden.plans.evaluate import augmentation_effect
+from logwarden.plans.evaluate import augmentation_effect, train_and_evaluate
 from logwarden.plans.steps import materialize
 from logwarden.session import scratch_path, stored
 from logwarden.sources import logs as L
@@ -481,6 +481,15 @@ def tfidf_svd(spark, sf):
     )
 
 
+@query
+def tfidf_explained(spark, sf):
+    """The share of the train lines' variance that the 100 components keep."""
+    rows, width = _sparse(spark, sf)
+    train = rows.where("split = 'train'")
+    share = TF.SvdModel.fit(train, width).explained_variance(train)
+    return train.agg(F.count("*").alias("rows")).select("rows", F.lit(width).alias("terms"), r(F.lit(share)).alias("explained"))
+
+
 @query
 def mean_token_vectors(spark, sf):
     """Means over tokens the train lines know, for all lines."""
@@ -622,6 +631,20 @@ def svm_rff_predictions(spark, sf):
     return model_predictions("svm", *_sides(spark, sf))
 
 
+@query
+def model_run(spark, sf):
+    """Four classifiers fitted, saved, loaded and evaluated again, in a short form of each."""
+    rows, place = _vectors(spark, sf), scratch_path(spark, "models")
+    models = {"rf": {"trees": 20, "depth": 8}, "gbt": {"rounds": 5, "depth": 4}, "knn": {}, "lr": {"iterations": 50}}
+    first = train_and_evaluate(rows, "embeddings", models, models_dir=place)
+    again = train_and_evaluate(rows, "embeddings", models, models_dir=place)
+    both = first.join(again.withColumnsRenamed({"accuracy": "loaded", "seconds": "kept"}), ["embedding", "model"])
+    return both.select(
+        "embedding", "model", r("accuracy").alias("accuracy"), (F.col("accuracy") == F.col("loaded")).alias("same_when_loaded"),
+        ((F.col("seconds") == F.col("kept")) & ((F.col("seconds") > 0) | (F.col("model") == "knn"))).alias("time_kept"),
+    )
+
+
 # ----------------------------------------------------------------- augmentation
 def _binary(spark, sf):
     label = F.when(F.col("label") == "class_0", "attack").otherwise("normal")
@@ -705,7 +728,10 @@ def augmentation_effect_rf(spark, sf):
     cells = augmentation_effect(
         v.where("split = 'train'"),
         v.where("split = 'test'"),
-        {"rf": {"trees": 100, "leaf": 1, "balanced": False}, "gbt": {}},
+        {
+            "rf": {"trees": 100, "leaf": 1, "balanced": False},
+            "gbt": {"rounds": 100, "depth": 6, "gamma": 0.0, "l1": 0.0},
+        },
         threshold=0.2,
     )
     return M.compare_overall(cells, "arm", "original", "augmented", ["model"])

@@ -116,7 +116,7 @@ def text_files(files: DataFrame, root: str) -> DataFrame:
 
 
 # -------------------------------------------------------------- line scanning
-BROADCAST_SPLITS = 1_000_000  # rows of a few hundred bytes
+BROADCAST_SPLITS = 100_000  # rows of a few hundred bytes
 
 
 def log_lines(spark: SparkSession, root: str, numbering: str = "raw", files: DataFrame | None = None) -> DataFrame:
