@@ -400,6 +400,18 @@ SELECT doc_id, line_no, coalesce(known, 0) AS known, {r('coalesce(v0, 0.0)')} AS
        {r('coalesce(v1, 0.0)')} AS v1, {r('coalesce(v2, 0.0)')} AS v2
 FROM lines LEFT JOIN sums USING (doc_id, line_no)"""
 
+# learned vectors: what is determined about them
+_KNOWN = f"""{TOKENS}, train AS (SELECT DISTINCT token FROM tokens WHERE {in_train(LINE_ID)}),
+found AS (SELECT doc_id, line_no, count(*) AS known FROM tokens JOIN train USING (token) GROUP BY ALL)"""
+ORACLES["word2vec_docs"] = f"""
+WITH {_KNOWN} SELECT doc_id, line_no, coalesce(known, 0) AS known, 100::BIGINT AS size, known IS NULL AS zero
+FROM lines LEFT JOIN found USING (doc_id, line_no)"""
+ORACLES["indexed_docs"] = f"""
+WITH {_KNOWN} SELECT doc_id, line_no, coalesce(known, 0) AS known, 100::BIGINT AS size
+FROM lines LEFT JOIN found USING (doc_id, line_no)"""
+ORACLES["graph_docs"] = f"""
+WITH {TOKEN_LINES} SELECT doc_id, line_no, 103::BIGINT AS size, len(t) = 0 AS zero FROM token_lines"""
+
 ORACLES["hash_sample"] = f"""
 WITH {LINES} SELECT doc_id, line_no FROM lines ORDER BY {hash_of(LINE_ID)} LIMIT 5000"""
 

@@ -504,33 +504,39 @@ def mean_token_vectors(spark, sf):
     )
 
 
-def _described(means: DataFrame, *keys: str) -> DataFrame:
+def _described(means: DataFrame) -> DataFrame:
     return means.select(
-        *keys,
+        *LINE,
         F.size("features").alias("size"),
         F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"),
     )
 
 
+def _determined(means: DataFrame, *cols: str) -> DataFrame:
+    """What does not depend on the training: size, known tokens, and which rows are zeros."""
+    zero = F.forall("features", lambda x: x == 0)
+    return means.select(*LINE, *cols, F.size("features").cast("bigint").alias("size"), zero.alias("zero"))
+
+
 @query
 def word2vec_docs(spark, sf):
     rows = with_split(_token_lines(spark, sf), T.line_id())
     vectors = stored(W.word_vectors(rows.where("split = 'train'")), "words")
-    return _described(W.mean_vectors(rows, vectors, LINE, 100), *LINE)
+    return _determined(W.mean_vectors(rows, vectors, LINE, 100), "known")
 
 
 @query
 def subword_docs(spark, sf):
     rows = with_split(_token_lines(spark, sf), T.line_id())
     vectors = W.subword_table(rows.where("split = 'train'"), rows)
-    return _described(W.mean_vectors(rows, vectors, LINE, 100), *LINE)
+    return _described(W.mean_vectors(rows, vectors, LINE, 100))
 
 
 @query
 def indexed_docs(spark, sf):
     rows = with_split(_token_lines(spark, sf), T.line_id())
     vectors = stored(W.word_vectors(rows.where("split = 'train'"), trainer="indexed"), "words")
-    return _described(W.mean_vectors(rows, vectors, LINE, 100), *LINE)
+    return _determined(W.mean_vectors(rows, vectors, LINE, 100), "known").drop("zero")
 
 
 def _sources(nodes: DataFrame) -> int | None:
@@ -544,7 +550,7 @@ def graph_docs(spark, sf):
     nodes, edges = stored(G.graph_nodes(rows), "nodes"), stored(G.cooccurrence_edges(rows), "edges")
     vectors = W.subword_table(rows, rows)
     central = G.centralities(nodes, edges, _sources(nodes))
-    return _described(G.graph_vectors(rows, vectors, central, LINE, 100), *LINE)
+    return _determined(G.graph_vectors(rows, vectors, central, LINE, 100))
 
 
 @named("pca_projection")
