@@ -24,7 +24,7 @@ SEEN = "uri string, start long, end long, i long, value binary"
 
 
 def hidden_files(spark: SparkSession, root: str) -> list[tuple[str, int]]:
-    """``(uri, length)`` of the files below ``root`` that Spark hides; dot files stay hidden."""
+    """``(uri, length)`` of the files below ``root`` that Spark hides; dot files and empty ones stay out."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -33,7 +33,7 @@ def hidden_files(spark: SparkSession, root: str) -> list[tuple[str, int]]:
     found: dict[str, int] = {}
 
     def add(status) -> None:
-        if not status.getPath().getName().startswith("."):
+        if status.getLen() and not status.getPath().getName().startswith("."):
             found[status.getPath().toString()] = status.getLen()
 
     while True:

@@ -57,7 +57,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
     unseen = hidden_files(spark, root)
     if unseen:
-        more = spark.createDataFrame(unseen, "uri string, length long").where("length > 0")
+        more = spark.createDataFrame(unseen, "uri string, length long")
         files = files.unionByName(more.withColumn("path", plain_path(F.col("uri"))))
     base = qualified(spark, root)
     below = F.substring(F.col("path"), len(base) + 2, 1 << 30)
