@@ -146,17 +146,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, text_col: str, lang_col: str, sample: int = SAMPLE_PER_LANG) -> Model:
-    """The model of about ``sample`` texts of each language (rows of languages with more are drawn by hash)."""
+    """The model of about ``sample`` distinct texts of each language (those of languages with more are drawn by hash)."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
+        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(text_col)).alias("digest")
     )
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row per language
+    # a row per language; a text counts once, however many copies it has
+    sizes = {r[0]: max(1, r[1]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("digest")).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((0, 1 << BITS)))
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("double") / (1 << 30)
     share = F.create_map(*(F.lit(v) for k in langs for v in (k, min(1.0, sample / sizes[k]))))
-    chosen = rows.where(draw < F.element_at(share, F.col("lang")))
+    chosen = rows.where(draw < F.element_at(share, F.col("lang"))).dropDuplicates(["lang", "digest"]).select("text", "lang")
     table = (
         chosen.mapInArrow(_count, "lang string, bucket int, n long")
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
