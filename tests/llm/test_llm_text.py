@@ -330,11 +330,12 @@ def test_filter_grows_with_the_items_in_bounded_shards(spark, monkeypatch):
     found = lambda: sorted((r["doc_id"], r["n_known"], round(r["base_score"], 8), round(r["score"], 8)) for r in lm_scores.scores(docs, ~lm_scores.held_out()).collect())
     monkeypatch.setattr(lm_scores, "PARTITION_BYTES", 2000)
     want = found()
-    monkeypatch.setattr(lm_scores, "MAX_BITS", 1 << 12)
-    passes, fetch = [], lm_scores._bits
-    monkeypatch.setattr(lm_scores, "_bits", lambda known, sizes, a, b: passes.append(int(sizes[a:b].sum())) or fetch(known, sizes, a, b))
+    for name in ("MAX_BITS", "SHARD_BITS"):
+        monkeypatch.setattr(lm_scores, name, 1 << 12)
+    held, cut = [], lm_scores.shards
+    monkeypatch.setattr(lm_scores, "shards", lambda sizes: [held.append(int(sizes[a:b].sum())) or (a, b) for a, b in cut(sizes)])
     assert found() == want
-    assert len(passes) > 3 and max(passes) <= 2 * (1 << 12) // 8
+    assert len(held) > 3 and max(held) <= 2 * (1 << 12) // 8
 
 
 # ------------------------------------------------------------------- pseudonyms
