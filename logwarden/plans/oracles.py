@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from logwarden.functions.text import ALPHABETIC_RUN, WHITESPACE, WORD_RUN
+from logwarden.operators.skipgram import BUCKETS, LONGEST, SHORTEST
 
 ORACLES: dict[str, str] = {}
 
@@ -409,6 +410,36 @@ FROM lines LEFT JOIN found USING (doc_id, line_no)"""
 ORACLES["indexed_docs"] = f"""
 WITH {_KNOWN} SELECT doc_id, line_no, coalesce(known, 0) AS known, 100::BIGINT AS size
 FROM lines LEFT JOIN found USING (doc_id, line_no)"""
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, from the table of its rule; DuckDB has no function for it."""
+    table = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = (byte >> 1) ^ (0xEDB88320 if byte & 1 else 0)
+        table.append(byte)
+    each = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i::BIGINT + 1, 2))::BIGINT)"
+    return (
+        f"xor(list_reduce([4294967295::BIGINT] || {each}, "
+        f"lambda a, b: xor(a >> 8, ({table}::BIGINT[])[(xor(a, b) & 255) + 1])), 4294967295)"
+    )
+
+
+# a token has a vector if it was trained, or shares a bucket of n-grams with one that was
+ORACLES["subword_docs"] = f"""
+WITH {TOKENS}, train AS (SELECT DISTINCT token FROM tokens WHERE {in_train(LINE_ID)}),
+every AS (SELECT token, token IN (SELECT token FROM train) AS trained FROM (SELECT DISTINCT token FROM tokens)),
+marked AS (SELECT token, trained, '<' || token || '>' AS m FROM every),
+grams AS (SELECT token, trained, substr(m, i, n) AS g FROM (SELECT *, unnest(range(1, length(m) - n + 2)) AS i
+  FROM (SELECT *, unnest(range({SHORTEST}, {LONGEST} + 1)) AS n FROM marked) WHERE n <= length(m))),
+buckets AS (SELECT g, {crc32('g')} % {BUCKETS} AS b FROM (SELECT DISTINCT g FROM grams)),
+held AS (SELECT DISTINCT b FROM grams JOIN buckets USING (g) WHERE trained),
+known AS (SELECT token FROM every WHERE trained UNION
+  SELECT token FROM grams JOIN buckets USING (g) JOIN held USING (b) WHERE NOT trained),
+found AS (SELECT doc_id, line_no, count(*) AS known FROM tokens JOIN known USING (token) GROUP BY ALL)
+SELECT doc_id, line_no, coalesce(known, 0) AS known, 100::BIGINT AS size, known IS NULL AS zero
+FROM lines LEFT JOIN found USING (doc_id, line_no)"""
 ORACLES["graph_docs"] = f"""
 WITH {TOKEN_LINES} SELECT doc_id, line_no, 103::BIGINT AS size, len(t) = 0 AS zero FROM token_lines"""
 
