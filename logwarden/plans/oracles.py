@@ -390,6 +390,12 @@ raw AS (SELECT doc_id, line_no, split, term, (1 + ln(tf)) * idf AS w FROM cells
 unit AS (SELECT split, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, line_no)) AS w FROM raw)
 SELECT split, term, count(*) AS rows, {r('sum(w)', 4)} AS weight FROM unit GROUP BY ALL"""
 
+ORACLES["tfidf_svd"] = f"""
+WITH {VOCAB}, hits AS (SELECT DISTINCT doc_id, line_no, true AS hit FROM (
+  SELECT doc_id, line_no, unnest(terms) AS term FROM term_lines) JOIN vocab USING (term))
+SELECT doc_id, line_no, split, least(100, (SELECT count(*) FROM vocab))::BIGINT AS size, hit IS NULL AS zero
+FROM term_lines LEFT JOIN hits USING (doc_id, line_no)"""
+
 ORACLES["mean_token_vectors"] = f"""
 WITH {TOKENS}, known AS (
   SELECT DISTINCT token, length(token) AS n, length(token) - length(replace(token, 'e', '')) AS e

@@ -469,16 +469,10 @@ def _sparse(spark, sf):
 
 @query
 def tfidf_svd(spark, sf):
-    """One row per line: norm of its 100 coordinates and the first of them."""
+    """One row per line: how many coordinates it has, and whether they are zeros (no known term)."""
     rows, width = _sparse(spark, sf)
     svd = TF.SvdModel.fit(rows.where("split = 'train'"), width)
-    return svd.transform(rows).select(
-        *LINE,
-        "split",
-        F.size("features").alias("size"),
-        F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"),
-        F.abs(F.col("features")[0]).alias("first"),
-    )
+    return _determined(svd.transform(rows), "split")
 
 
 @query
