@@ -463,6 +463,22 @@ sub_ends AS (SELECT u AS token FROM sub UNION ALL SELECT v FROM sub)"""
 ORACLES["top_degree_subgraph"] = f"""
 WITH {SUBGRAPH}
 SELECT u, v, weight, {r('0.5 + 2.0 * weight / (SELECT max(weight) FROM sub)')} AS width FROM sub"""
+_LEVELS = 6  # of a dense graph of 100 nodes
+_PATHS = ",\n".join(
+    f"""p{k} AS (SELECT s, b AS v, {k} AS d, sum(c)::DOUBLE AS c FROM p{k - 1} JOIN ways ON a = v
+  WHERE (s, b) NOT IN (SELECT (s, v) FROM seen{k - 1}) GROUP BY ALL),
+seen{k} AS (SELECT s, v FROM seen{k - 1} UNION ALL SELECT s, v FROM p{k})"""
+    for k in range(1, _LEVELS + 1)
+)
+ORACLES["betweenness_subgraph"] = f"""
+WITH {SUBGRAPH}, ways AS (SELECT u AS a, v AS b FROM sub WHERE u <> v UNION SELECT v, u FROM sub WHERE u <> v),
+p0 AS (SELECT token AS s, token AS v, 0 AS d, 1.0::DOUBLE AS c FROM top), seen0 AS (SELECT s, v FROM p0),
+{_PATHS},
+paths AS ({" UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(1, _LEVELS + 1))}),
+dep AS (SELECT x.v AS token, sum(x.c * y.c / z.c) AS b FROM paths x JOIN paths y ON y.s = x.v
+  JOIN paths z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d GROUP BY ALL)
+SELECT token, {r('coalesce(b, 0) / ((n - 1) * (n - 2))')} AS centrality, n AS sources
+FROM top LEFT JOIN dep USING (token), (SELECT count(*) AS n FROM top)"""
 ORACLES["subgraph_styling"] = f"""
 WITH {SUBGRAPH}
 SELECT token, count(s.token) AS degree,

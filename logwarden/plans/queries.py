@@ -576,6 +576,15 @@ def betweenness_centrality(spark, sf):
     return rounded(G.betweenness_centrality(nodes, edges, _sources(nodes)), "centrality")
 
 
+@query
+def betweenness_subgraph(spark, sf):
+    """Exact betweenness inside the subgraph of the nodes of highest degree."""
+    nodes, edges = _graph(spark, sf)
+    top = stored(G.top_degree_nodes(nodes, edges).select("token"), "top")
+    inside = stored(G.induced_edges(edges, top), "inside")
+    return rounded(G.betweenness_centrality(top, inside), "centrality")
+
+
 @query
 def top_degree_subgraph(spark, sf):
     nodes, edges = _graph(spark, sf)
