@@ -22,6 +22,7 @@ QUERIES = {
 ORACLES = {
     "op2_secret_scan": secret_scan.ORACLE_SQL,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
+    "op5_ngram_join": ngram_join.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
     "op11_sharding": sharding.ORACLE_SQL,
     "op12_prefix_trie": prefix_trie.ORACLE_SQL,
