@@ -51,12 +51,16 @@ def hidden_files(spark: SparkSession, root: str) -> list[tuple[str, int]]:
             return sorted(found.items())
 
 
+#: names of one store in Hadoop and in Arrow
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def opened(uri: str):
     """The file, for random reads. Hadoop writes paths without the escapes of a URI."""
-    scheme, _, rest = uri.rpartition(":/")
-    if scheme in ("", "file"):
+    scheme, rest = re.fullmatch(r"(?s)(?:([A-Za-z][A-Za-z0-9+.-]*):)?(.*)", uri).groups()
+    if scheme in (None, "file"):
         return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
-    store, path = fs.FileSystem.from_uri(f"{scheme}:/{quote(rest)}")
+    store, path = fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{quote(rest)}")
     return store.open_input_file(path)
 
 
@@ -75,9 +79,13 @@ def range_lines(source, start: int, end: int) -> list[bytes]:
     if not len(begins):
         return []
     # the last line may go on behind the range
-    tail = data[before + int(begins[-1]) :]
-    while start + int(begins[-1]) + len(tail) < size and not re.search(rb"[\r\n]", tail):
-        tail += source.read(AHEAD)
+    parts, step = [data[before + int(begins[-1]) :]], AHEAD
+    while not re.search(rb"[\r\n]", parts[-1]):
+        parts.append(source.read(step))
+        if not parts[-1]:
+            break
+        step *= 2
+    tail = b"".join(parts)
     out = [data[before + a : before + b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
     return [re.sub(rb"(\r\n|\r|\n)\Z", b"", line) for line in out] + [re.split(rb"[\r\n]", tail, maxsplit=1)[0]]
 
