@@ -93,7 +93,7 @@ def range_lines(source, start: int, end: int) -> list[bytes]:
 def hidden_lines(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
     """``(uri, start, end, i, value)``: the lines of each range, numbered from 0."""
     ranges = [(uri, a, min(a + RANGE_BYTES, length)) for uri, length in files for a in range(0, length, RANGE_BYTES)]
-    table = spark.createDataFrame(ranges, "uri string, start long, end long").repartition(max(1, len(ranges)))
+    table = spark.createDataFrame(ranges, "uri string, start long, end long").repartition(max(1, min(10_000, len(ranges))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
