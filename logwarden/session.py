@@ -83,6 +83,15 @@ def discard(*tables: DataFrame) -> None:
             remove(table.sparkSession, place)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps.
+
+    They go when the driver's JVM collects its garbage, which a long loop over few
+    objects may not do until the disks are full.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, place: str) -> None:
     """Deletes a folder of our own below the shared one."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
