@@ -18,7 +18,7 @@ are empty or hold a marker stay plain; ``restored`` undoes the other forms, whic
 possible because no text holds a marker and none can arise at a seam. Null texts count
 as empty, null ids as an empty id; repeated rows, equal texts and ties of the two cuts
 (an empty middle) are like any others. Texts of any length are indexed whole, in numpy,
-about a megabyte at a time. Columns named like an added one are replaced, other extra
+about a megabyte at a time; a longer text is one piece, and takes some 20 times its size. Columns named like an added one are replaced, other extra
 columns are kept. An empty table gives no rows.
 """
 
