@@ -10,7 +10,8 @@ least loss; ``score`` is its share after a softmax, and ``ambiguous`` says that
 second best is within ``AMBIGUOUS`` of it.
 
 Classifiers are fitted on a bounded sample of labelled rows: about
-``SAMPLE_PER_LANG`` texts a language, chosen by hash (``sample`` is that bound).
+``SAMPLE_PER_LANG`` distinct texts a language, chosen by hash (``sample`` is that
+bound); a text with many copies is learned from once.
 They are log odds of n-gram counts, kept as 16-bit integers, so margins are exact
 sums and do not depend on batches. Whole texts are read, for training and for
 prediction; case and everything but letters is dropped first.
