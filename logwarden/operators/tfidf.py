@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -14,7 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logwarden.functions.vectors import once
-from logwarden.functions.text import term_occurrences, unigrams_and_bigrams, word_tokens
+from logwarden.functions.segments import OUT_ROWS, list_blocks, named, starts_of
+from logwarden.functions.text import unigrams_and_bigrams, word_tokens
+
+#: Terms that a task counts together.
+BLOCK_TERMS = 1 << 21
+TERM_BUCKETS = 1 << 12
 
 
 def with_terms(records: DataFrame, text: str = "log") -> DataFrame:
@@ -23,13 +31,73 @@ def with_terms(records: DataFrame, text: str = "log") -> DataFrame:
     return tokens.withColumn("terms", unigrams_and_bigrams("tokens")).drop("tokens")
 
 
+STATS = "bucket int, terms array<string>, cf array<bigint>, df array<bigint>"
+
+
+def _block_stats(most: int):
+    """The distinct terms of each block of records with their counts, a row for each bucket of terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lists in list_blocks(batches, "terms", most):
+            coded = lists.flatten().dictionary_encode()
+            places = coded.indices.fill_null(-1).to_numpy().astype(np.int64) + 1
+            base = len(coded.dictionary) + 1
+            cf = np.bincount(places, minlength=base)
+            df = np.bincount(np.unique(pc.list_parent_indices(lists).to_numpy() * base + places) % base, minlength=base)
+            hashed = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)
+            bucket = np.append(0, hashed % TERM_BUCKETS).astype(np.int32)
+            used = np.flatnonzero(cf)
+            used = used[np.argsort(bucket[used], kind="stable")]
+            first, _ = starts_of(bucket[used])
+            offsets = pa.array(np.append(first, len(used)).astype(np.int32))
+            columns = (named(coded.dictionary, used - 1), pa.array(cf[used]), pa.array(df[used]))
+            yield pa.record_batch(
+                [pa.array(bucket[used[first]]), *(pa.ListArray.from_arrays(offsets, x) for x in columns)],
+                ["bucket", "terms", "cf", "df"],
+            )
+
+    return run
+
+
+def _merged_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, cf, df: sums over rows sorted by bucket, a few buckets at a time."""
+
+    def rows(terms: pa.Array, cf: np.ndarray, df: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(cf), OUT_ROWS):
+            at = slice(i, i + OUT_ROWS)
+            yield pa.record_batch([terms.slice(i, OUT_ROWS), pa.array(cf[at]), pa.array(df[at])], ["term", "cf", "df"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column("terms")
+        terms, bucket = lists.flatten(), batch.column("bucket").to_numpy()[pc.list_parent_indices(lists).to_numpy()]
+        cf, df = (batch.column(c).flatten().to_numpy() for c in ("cf", "df"))
+        if held:
+            terms = pa.concat_arrays([held[0], terms])
+            bucket, cf, df = (np.concatenate(x) for x in zip(held[1:], (bucket, cf, df), strict=True))
+        coded = terms.dictionary_encode()
+        places = coded.indices.fill_null(-1).to_numpy().astype(np.int64) + 1
+        cf, df = (np.bincount(places, x, minlength=len(coded.dictionary) + 1).astype(np.int64) for x in (cf, df))
+        of = np.zeros(len(cf), np.int32)
+        of[places] = bucket
+        used = np.flatnonzero(cf)
+        done, last = used[of[used] != bucket[-1]], used[of[used] == bucket[-1]]
+        yield from rows(named(coded.dictionary, done - 1), cf[done], df[done])
+        held = named(coded.dictionary, last - 1), of[last], cf[last], df[last]
+    if held:
+        yield from rows(held[0], *held[2:])
+
+
 def term_stats(records: DataFrame) -> DataFrame:
-    """``(term, cf, df)``: occurrences and records of every term."""
-    return (
-        records.select(F.explode(term_occurrences(F.col("terms"))).alias("x"))
-        .groupBy("x.term")
-        .agg(F.sum("x.cf").alias("cf"), F.sum("x.df").alias("df"))
-    )
+    """``(term, cf, df)``: occurrences and records of every term.
+
+    Terms are counted as numbers in blocks of records, and a block's terms are dealt out by
+    bucket; a task holds one block, or the terms of a few buckets.
+    """
+    counted = records.select("terms").where("terms is not null").mapInArrow(_block_stats(BLOCK_TERMS), STATS)
+    return counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merged_stats, "term string, cf bigint, df bigint")
 
 
 def vocabulary(
